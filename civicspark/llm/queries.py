@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicspark.llm import ranking, repetition, tokens
+from civicspark.llm import lines, ranking, repetition, tokens, transcripts
 from civicspark.session import table
 
 
@@ -18,6 +18,33 @@ def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
     return ranking.combined_ranking(table(spark, d, "fused_chunks"))
 
 
+LINE_SOURCE = ["tenant_id", "document_type", "committee_name"]
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "document_records").select("id", *LINE_SOURCE, "content_text", "ocr_applied")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines to take out of the records, scans and records without text left out."""
+    return lines.found_lines(_records(spark, d).where("not coalesce(ocr_applied, false)"), LINE_SOURCE)
+
+
+def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    """All records with their text without repeated lines."""
+    out = lines.without_repeated_lines(_records(spark, d), LINE_SOURCE, skip=F.col("ocr_applied"))
+    return out.select("id", "clean_text", "lines_cut")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_turns(spark, d).select("meeting_id", "first_segment_id", "last_segment_id")
+
+
+def p6_turns(spark: SparkSession, d: str) -> DataFrame:
+    """The turns of all meetings with speaker, times and clean text."""
+    return transcripts.turns(table(spark, d, "segments"), table(spark, d, "meetings"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """The ids of each document by byte_bpe_50k; [] for null and empty texts."""
     return tokens.encode_table(table(spark, d, "documents").select("doc_id", "text"))
@@ -33,6 +60,22 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(table(spark, d, "documents").select("doc_id", "text"), order=[]).select("doc_id", "repeated_share", "repetitive")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p8_ids, p10_found, p10_shares)}
-
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p4_found, p4_clean, p6_found, p6_turns, p8_ids, p10_found, p10_shares)}
+
+SQL: dict[str, str] = {
+    "p4_found": r"""
+        WITH d AS (
+            SELECT id, tenant_id, document_type, committee_name, string_split(content_text, chr(10)) AS ls
+            FROM document_records WHERE length(content_text) > 0 AND ocr_applied IS DISTINCT FROM TRUE),
+        l AS (
+            SELECT id, tenant_id, document_type, committee_name, generate_subscripts(ls, 1) - 1 AS line_no,
+                   regexp_replace(regexp_replace(lower(unnest(ls)), '\s+', '', 'g'), '\d([\d.,:/-]*\d)?', '0', 'g') AS k FROM d),
+        n AS (SELECT tenant_id, document_type, committee_name, count(*) AS docs FROM d GROUP BY ALL),
+        c AS (SELECT tenant_id, document_type, committee_name, k, count(DISTINCT id) AS n FROM l WHERE k <> '' GROUP BY ALL)
+        SELECT l.id AS document_id, CAST(l.line_no AS INT) AS line_no
+        FROM l JOIN c ON l.k = c.k AND l.tenant_id IS NOT DISTINCT FROM c.tenant_id AND l.document_type IS NOT DISTINCT FROM c.document_type
+                     AND l.committee_name IS NOT DISTINCT FROM c.committee_name
+               JOIN n ON l.tenant_id IS NOT DISTINCT FROM n.tenant_id AND l.document_type IS NOT DISTINCT FROM n.document_type
+                     AND l.committee_name IS NOT DISTINCT FROM n.committee_name
+        WHERE c.n >= 5 AND c.n * 5 >= n.docs""",
+}
