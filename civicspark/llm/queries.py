@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicspark.llm import lines, ranking, repetition, tokens, transcripts
+from civicspark.llm import lines, neardup, ranking, repetition, tokens, transcripts
 from civicspark.session import table
 
 
@@ -18,6 +18,16 @@ def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
     return ranking.combined_ranking(table(spark, d, "fused_chunks"))
 
 
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The group of every record and chunk with a text."""
+    return neardup.edited_copies({"document_records": (table(spark, d, "document_records"), "id", "content_text"), "chunks": (table(spark, d, "chunks"), "id", "content")})
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of ids within one group."""
+    return neardup.group_pairs(p2_groups(spark, d))
+
+
 LINE_SOURCE = ["tenant_id", "document_type", "committee_name"]
 
 
@@ -60,7 +70,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(table(spark, d, "documents").select("doc_id", "text"), order=[]).select("doc_id", "repeated_share", "repetitive")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p4_found, p4_clean, p6_found, p6_turns, p8_ids, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_groups, p4_found, p4_clean, p6_found, p6_turns, p8_ids, p10_found, p10_shares)}
 
 SQL: dict[str, str] = {
     "p4_found": r"""
