@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicspark.llm import lines, neardup, ranking, repetition, tokens, transcripts
-from civicspark.session import table
+from civicspark.llm import lines, names, neardup, ranking, repetition, tokens, transcripts
+from civicspark.session import cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -55,6 +55,21 @@ def p6_turns(spark: SparkSession, d: str) -> DataFrame:
     return transcripts.turns(table(spark, d, "segments"), table(spark, d, "meetings"))
 
 
+def p7_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The entity of every spelling of a person or committee."""
+    people = names.spellings(table(spark, d, "speaker_profiles"), "tenant_id", "name", "person")
+    mapped = table(spark, d, "meetings").select("tenant_id", F.explode(F.map_values("speaker_map")).alias("name"))
+    committees = names.spellings(table(spark, d, "document_records"), "tenant_id", "committee_name", "committee")
+    return names.linked_names(people.union(names.spellings(mapped, "tenant_id", "name", "person")).union(committees))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of spellings of one entity."""
+    e = p7_entities(spark, d)
+    e = cut(e.select("tenant_id", "kind", "name", "entity"))
+    return e.withColumnRenamed("name", "name_a").join(e.withColumnRenamed("name", "name_b"), ["tenant_id", "kind", "entity"]).where("name_a < name_b").select("tenant_id", "kind", "name_a", "name_b")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """The ids of each document by byte_bpe_50k; [] for null and empty texts."""
     return tokens.encode_table(table(spark, d, "documents").select("doc_id", "text"))
@@ -70,7 +85,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(table(spark, d, "documents").select("doc_id", "text"), order=[]).select("doc_id", "repeated_share", "repetitive")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_groups, p4_found, p4_clean, p6_found, p6_turns, p8_ids, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_groups, p4_found, p4_clean, p6_found, p6_turns, p7_found, p7_entities, p8_ids, p10_found, p10_shares)}
 
 SQL: dict[str, str] = {
     "p4_found": r"""
