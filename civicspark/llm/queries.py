@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicspark.llm import lines, names, neardup, ranking, repetition, tokens, transcripts
+from civicspark.llm import lines, mixing, names, neardup, ranking, repetition, scans, tokens, transcripts
 from civicspark.session import cut, table
 
 
@@ -46,6 +46,31 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "clean_text", "lines_cut")
 
 
+def _pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "document_pages").select("id", "extraction_method", "content_text"), table(spark, d, "document_records").select("id", "ocr_applied", "content_text")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of scanned pages with a broken word, of furniture, or with misread words."""
+    pages, records = _pages(spark, d)
+    model = scans.clean_model(pages, records)
+    scanned = pages.where("extraction_method is not null and extraction_method not in ('native', 'pdf_text') and content_text <> ''").dropDuplicates(["id"])
+    return scans.line_reports(scanned, model, "id", "content_text")
+
+
+def p5_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every page with its text, scanned ones repaired."""
+    pages, records = _pages(spark, d)
+    out = scans.repaired(pages, scans.clean_model(pages, records), "content_text", ~F.col("extraction_method").isin("native", "pdf_text"))
+    return out.select("id", "repaired_text")
+
+
+def p5_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with its text, scanned ones repaired."""
+    pages, records = _pages(spark, d)
+    return scans.repaired(records, scans.clean_model(pages, records), "content_text", F.col("ocr_applied")).select("id", "repaired_text")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_turns(spark, d).select("meeting_id", "first_segment_id", "last_segment_id")
 
@@ -75,6 +100,21 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_table(table(spark, d, "documents").select("doc_id", "text"))
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document of a listed source is used."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0].select("id", "source", "n_tokens", "repeats")
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual shares by source."""
+    return mixing.report(*mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sources whose target exceeds what their cap allows."""
+    return p9_report(spark, d).where("exhausted").select("source")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents of which at least 30 percent repeat earlier content."""
     return repetition.repetition(table(spark, d, "documents").select("doc_id", "text")).where("repetitive").select("doc_id")
@@ -85,7 +125,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(table(spark, d, "documents").select("doc_id", "text"), order=[]).select("doc_id", "repeated_share", "repetitive")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_groups, p4_found, p4_clean, p6_found, p6_turns, p7_found, p7_entities, p8_ids, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_groups, p4_found, p4_clean, p5_found, p5_pages, p5_records, p6_found, p6_turns, p7_found, p7_entities, p8_ids, p9_found, p9_report, p9_mix, p10_found, p10_shares)}
 
 SQL: dict[str, str] = {
     "p4_found": r"""
