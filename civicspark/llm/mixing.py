@@ -99,8 +99,9 @@ def source_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, n_docs, own_tokens, target_tokens, rate) per row of targets; sources without documents have rate 0."""
     own = sizes.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("own_tokens"))
     plan = targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).join(own, "source", "left").fillna(0, ["n_docs", "own_tokens"])
-    total = plan.agg(F.sum("own_tokens").alias("all_tokens"))
-    plan = plan.crossJoin(F.broadcast(total)).withColumn("target_tokens", F.col("target_share") * F.col("all_tokens"))
+    plan = cut(plan)
+    total = plan.agg(F.sum("own_tokens")).first()[0] or 0
+    plan = plan.withColumn("target_tokens", F.col("target_share") * F.lit(float(total)))
     rate = F.when(F.col("own_tokens") > 0, F.least(F.col("target_tokens") / F.col("own_tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)
     return plan.select("source", "target_share", "max_repeats", "n_docs", "own_tokens", "target_tokens", rate.alias("rate"))
 
@@ -148,9 +149,9 @@ def report(uses: DataFrame, plan: DataFrame) -> DataFrame:
     exhausted: every document is used max_repeats times (or there is none) and the target is not reached.
     """
     got = uses.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("actual_tokens"), F.sum("repeats").alias("uses"), F.min(F.col("repeats") / F.col("same")).alias("least"))
-    r = plan.join(got, "source", "left").fillna(0, ["actual_tokens", "uses"])
-    total = r.agg(F.sum("actual_tokens").alias("mixed"))
+    r = cut(plan.join(got, "source", "left").fillna(0, ["actual_tokens", "uses"]))
+    mixed = r.agg(F.sum("actual_tokens")).first()[0] or 0
     full = F.coalesce(F.col("least") >= F.col("max_repeats"), F.lit(True)) & (F.col("target_tokens") > F.col("actual_tokens") * (1 + 1e-12))
-    return r.crossJoin(F.broadcast(total)).select(
-        "source", "target_share", F.try_divide("actual_tokens", "mixed").alias("actual_share"), "target_tokens", "actual_tokens", "own_tokens", "n_docs", "max_repeats", "uses", full.alias("exhausted")
+    return r.select(
+        "source", "target_share", F.try_divide("actual_tokens", F.lit(mixed)).alias("actual_share"), "target_tokens", "actual_tokens", "own_tokens", "n_docs", "max_repeats", "uses", full.alias("exhausted")
     )
