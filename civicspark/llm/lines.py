@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,19 +57,25 @@ class Summary:
 
 
 def _candidates(keys: DataFrame, min_docs: int, min_share: float) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([(c, pa.int64()) for c in ("source", "line", "n", "loss", "docs")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, Summary] = {}
         for b in batches:
-            for s, lines in zip(b["source"], b["lines"], strict=True):
-                held.setdefault(s, Summary()).add([x for x in set(lines.tolist()) if x is not None and x == x], min_share)
+            for s, lines in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held.setdefault(s, Summary()).add(lines, min_share)
+        rows: list[tuple] = []
         for s, h in held.items():
-            items = np.fromiter(h.counts, np.int64, len(h.counts))
-            n = np.fromiter(h.counts.values(), np.int64, len(h.counts))
-            yield pd.DataFrame({"source": s, "line": pd.array(items, "Int64"), "n": n, "loss": 0, "docs": 0})
-            yield pd.DataFrame({"source": [s], "line": pd.array([None], "Int64"), "n": [0], "loss": [h.loss], "docs": [h.docs]})
+            rows.append((s, None, 0, h.loss, h.docs))
+            rows += [(s, k, n, 0, 0) for k, n in h.counts.items()]
+            if len(rows) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
 
     lines = keys.select("source", F.array_compact(F.array_distinct("keys")).alias("lines"))
-    part = lines.mapInPandas(run, "source bigint, line bigint, n bigint, loss bigint, docs bigint")
+    part = lines.mapInArrow(run, "source bigint, line bigint, n bigint, loss bigint, docs bigint")
     merged = cut(part.groupBy("source", "line").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"), F.sum("docs").alias("docs")))
     totals = merged.where("line is null").select("source", "loss", "docs")
     items = merged.where("line is not null").select("source", "line", "n")
