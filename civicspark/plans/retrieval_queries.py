@@ -14,7 +14,7 @@ from civicspark.session import table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 TODAY = datetime.date(2026, 1, 1)
-QUESTIONS = [(1, "budget analyst committee"), (2, "the district restroom"), (3, "capacity near Foxglen"), (4, "union delegate warranty")]
+QUESTIONS = [(1, "budget analyst committee"), (2, "the district restroom"), (3, "capacity near Foxglen"), (4, "union delegate warranty"), (5, "before the vote")]
 _QUESTIONS_SQL = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in QUESTIONS) + ") q(query_id, text)"
 _STOP = "[" + ", ".join(f"'{w}'" for w in R.STOPWORDS) + "]"
 
