@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "with"]
 
@@ -133,6 +134,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vec
     m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
     held = vectors.sparkSession.sparkContext.broadcast((ids, m))
     id_type, q_type = dict(vectors.dtypes)[key], dict(queries.dtypes)["query_id"]
+    id_arrow, q_arrow = to_arrow_type(vectors.schema[key].dataType), to_arrow_type(queries.schema["query_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, m = held.value
@@ -153,7 +155,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vec
             best_s, best_k = s, names
         n = best_s.shape[1]
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([i for i in ids for _ in range(n)]), pa.array(best_k.ravel().tolist()), pa.array(best_s.ravel())], names=["query_id", key, "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([i for i in ids for _ in range(n)], q_arrow), pa.array(best_k.ravel().tolist(), id_arrow), pa.array(best_s.ravel())], names=["query_id", key, "score"])
 
     part = vectors.select(key, vector).mapInArrow(run, f"query_id {q_type}, {key} {id_type}, score double")
     return top_k(part.withColumn("score", F.round("score", 9)), k, key)

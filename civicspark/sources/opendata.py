@@ -74,6 +74,7 @@ class RecordsSource(DataSource):
 
 
 def read_records(spark: SparkSession, base: str, datasets: list[str], columns: list[str], page_size: int = 50_000, pages: int = 1) -> DataFrame:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RecordsSource)
     return spark.read.format("records").schema(", ".join(f"`{c}` string" for c in columns)).options(datasets=",".join(datasets), pagesize=page_size, pages=pages).load(base)
 
