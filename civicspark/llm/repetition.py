@@ -63,7 +63,7 @@ RULES: dict[str, Callable[[list[str]], float]] = {"units": bound_units, "pairs":
 def repeated_share(u: list[str], run: int = RUN, stretch: int = STRETCH) -> float:
     """The exact share: characters in maximal stretches of units that repeat earlier runs, stretches of `stretch` characters or more.
 
-    Stretches of fewer units than `run` count when they are directly repeated (the same one, two or three units again and again).
+    A run shorter than `run` counts where it is directly repeated: the same one, two or three units again and again.
     """
     total = sum(map(len, u))
     if not total:
@@ -81,7 +81,7 @@ def repeated_share(u: list[str], run: int = RUN, stretch: int = STRETCH) -> floa
         same = 0
         for i in range(period, n):
             same = same + 1 if u[i] == u[i - period] else 0
-            if same >= 2 * period:
+            if same >= max(2 * period, run - 1):
                 cover[i - same + 1 : i + 1] = b"\1" * same
     hit = size = 0
     for i in range(n + 1):
