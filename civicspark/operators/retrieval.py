@@ -28,9 +28,14 @@ def terms(text: Column, stop: bool = True) -> Column:
     return F.filter(t, lambda x: ~x.isin(STOPWORDS)) if stop else t
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, positions, tf), to be stored partitioned by term where it is used again."""
+def postings(docs: DataFrame, key: str, text: str, queries: DataFrame | None = None) -> DataFrame:
+    """(term, key, positions, tf), to be stored partitioned by term where it is used again.
+
+    With `queries`, only their terms are kept, before anything is shuffled: what a batch of questions needs without an index.
+    """
     p = docs.select(key, F.posexplode(terms(F.col(text))).alias("pos", "term"))
+    if queries is not None:
+        p = p.join(query_terms(queries).select("term").distinct(), "term", "left_semi")
     return p.groupBy("term", key).agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.count("*").alias("tf"))
 
 
@@ -228,3 +233,17 @@ def route(question: Column, threshold: float = 0.7) -> Column:
     counts, reasons = q.rlike(r"\b(how many|count|number of|list all|total)\b"), q.rlike(r"\b(why|how did|explain|discuss)")
     confidence = F.when(counts & reasons, 0.75).when(counts, 0.9).otherwise(0.6)
     return F.when(confidence < threshold, "rag").when(counts & reasons, "hybrid").when(counts, "database").otherwise("rag")
+
+
+def extractive_answer(cited: DataFrame, text: str, most: int = 3) -> DataFrame:
+    """(query_id, answer): the first sentence of the best sources with their numbers; what stands in for a text model.
+
+    Questions without a hit are to be answered by NO_INFORMATION (left join them).
+    """
+    first = F.get(F.split(F.regexp_replace(F.col(text), r"^\s+", ""), r"(?<=[.!?])\s+"), F.lit(0))
+    line = F.concat(first, F.lit(" [Source "), F.col("source_number").cast("string"), F.lit("]"))
+    g = cited.where(F.col("source_number") <= most).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("source_number", line.alias("l")))).alias("ls"))
+    return g.select("query_id", F.array_join(F.transform("ls", lambda x: x["l"]), " ").alias("answer"))
+
+
+NO_INFORMATION = "No record was found that answers this."

@@ -350,3 +350,43 @@ def rollup_demo(s: SparkSession, d: str) -> DataFrame:
     SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS qty FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
 def cube_demo(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("qty"))
+
+
+@query("SELECT id AS key FROM document_records r WHERE processing_status = 'complete' AND file_path IS NOT NULL AND NOT EXISTS (SELECT 1 FROM document_pages p WHERE p.document_id = r.id)")
+def manifest_pull(s: SparkSession, d: str) -> DataFrame:
+    """Finished entries with a file that is not here yet."""
+    r = _records(s, d).where("processing_status = 'complete' and file_path is not null").select(F.col("id").alias("key"))
+    return R.unseen(r, table(s, d, "document_pages").select(F.col("document_id").alias("key")), ["key"])
+
+
+@query("""
+    SELECT CASE WHEN document_type = 'agenda_item' THEN 'html' WHEN coalesce(file_path, '') = '' THEN 'error' WHEN regexp_matches(lower(file_path), '\\.(pptx|ppsx)$') THEN 'native' WHEN regexp_matches(lower(file_path), '\\.(doc|docx|xls|xlsx|ppt)$') THEN 'office' ELSE 'ocr' END AS route, count(*) AS n
+    FROM document_records GROUP BY 1""")
+def extraction_routes(s: SparkSession, d: str) -> DataFrame:
+    from civicspark.sources.meetings import extraction_route
+
+    return _records(s, d).groupBy(extraction_route(F.coalesce("document_type", F.lit("")), F.col("file_path")).alias("route")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT format, count(*) AS n FROM meetings GROUP BY 1")
+def format_report(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "meetings").groupBy("format").agg(F.count("*").alias("n"))
+
+
+@query("""
+    SELECT CAST(created_at AS DATE) AS day, count(*) AS n, round(count(*) / 1440.0, 6) AS per_minute FROM document_records GROUP BY 1""")
+def run_throughput(s: SparkSession, d: str) -> DataFrame:
+    """Records per day and minute of a run."""
+    g = _records(s, d).groupBy(F.to_date("created_at").alias("day")).agg(F.count("*").alias("n"))
+    return g.withColumn("per_minute", F.round(F.col("n") / 1440, 6))
+
+
+@query("SELECT extraction_method AS source, count(*) AS n, round(avg(processing_time_ms), 6) AS mean_ms FROM document_pages GROUP BY 1")
+def extraction_latency(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "document_pages").groupBy(F.col("extraction_method").alias("source")).agg(F.count("*").alias("n"), F.round(F.avg("processing_time_ms"), 6).alias("mean_ms"))
+
+
+@query()
+def sample_records(s: SparkSession, d: str) -> DataFrame:
+    """A seeded sample of 20 records (the sampling operator: order by a hash, keep n)."""
+    return R.page(_records(s, d).select("id", F.xxhash64("id", F.lit(7)).alias("h")), [F.col("h"), F.col("id")], 20).select("id")

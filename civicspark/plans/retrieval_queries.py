@@ -49,12 +49,12 @@ _TEXT = f"""c AS (SELECT id AS chunk_id, content, tenant_id, document_type, meta
 
 @query(f"WITH {_TEXT} SELECT query_id, chunk_id, tf FROM m")
 def fts_and(s: SparkSession, d: str) -> DataFrame:
-    return R.match_all(R.postings(_chunks(s, d), "chunk_id", "content"), _questions(s), "chunk_id")
+    return R.match_all(R.postings(_chunks(s, d), "chunk_id", "content", _questions(s)), _questions(s), "chunk_id")
 
 
 @query(f"WITH {_TEXT}, p AS (SELECT query_id, chunk_id, pos - qat AS st, count(*) AS f, max(n_terms) AS n FROM q JOIN o USING (term) GROUP BY ALL) SELECT query_id, chunk_id, count(*) AS hits FROM p WHERE f = n GROUP BY ALL")
 def fts_phrase(s: SparkSession, d: str) -> DataFrame:
-    return R.match_phrase(R.postings(_chunks(s, d), "chunk_id", "content"), _questions(s), "chunk_id")
+    return R.match_phrase(R.postings(_chunks(s, d), "chunk_id", "content", _questions(s)), _questions(s), "chunk_id")
 
 
 @query(f"""
@@ -64,7 +64,7 @@ def fts_phrase(s: SparkSession, d: str) -> DataFrame:
     FROM (SELECT DISTINCT query_id, term FROM q) JOIN t USING (term) JOIN f USING (term) JOIN l USING (chunk_id), st GROUP BY ALL""")
 def fts_bm25(s: SparkSession, d: str) -> DataFrame:
     c = _chunks(s, d)
-    return R.bm25(R.postings(c, "chunk_id", "content"), c, _questions(s), "chunk_id", "content").withColumn("score", F.round("score", 6))
+    return R.bm25(R.postings(c, "chunk_id", "content", _questions(s)), c, _questions(s), "chunk_id", "content").withColumn("score", F.round("score", 6))
 
 
 @query(f"""
@@ -73,7 +73,7 @@ def fts_bm25(s: SparkSession, d: str) -> DataFrame:
          w AS (SELECT query_id, chunk_id, low, min(pos) AS pos FROM e WHERE have = (SELECT max(n_terms) FROM q WHERE q.query_id = e.query_id) GROUP BY ALL)
     SELECT query_id, chunk_id, round(sum(0.1 / (pos - low + 1)), 6) AS score FROM w GROUP BY ALL""")
 def fts_cover_density(s: SparkSession, d: str) -> DataFrame:
-    return R.cover_density(R.postings(_chunks(s, d), "chunk_id", "content"), _questions(s), "chunk_id").withColumn("score", F.round("score", 6))
+    return R.cover_density(R.postings(_chunks(s, d), "chunk_id", "content", _questions(s)), _questions(s), "chunk_id").withColumn("score", F.round("score", 6))
 
 
 NAMES = [(1, "Foxglen"), (1, "Upperfold"), (2, "Room B27")]
@@ -130,7 +130,7 @@ _LEGS = f"""{_TEXT}, k AS (SELECT query_id, chunk_id, row_number() OVER (PARTITI
 
 def _fused(s: SparkSession, d: str) -> DataFrame:
     c = _chunks(s, d)
-    keyword = R.match_all(R.postings(c, "chunk_id", "content"), _questions(s), "chunk_id").withColumnRenamed("tf", "score")
+    keyword = R.match_all(R.postings(c, "chunk_id", "content", _questions(s)), _questions(s), "chunk_id").withColumnRenamed("tf", "score")
     names = R.name_hits(c, s.createDataFrame(NAMES, "query_id int, name string"), "chunk_id", "content", "meeting_date", 20)
     return R.fuse({"keyword": keyword, "name": names}, "chunk_id")
 
@@ -202,3 +202,20 @@ def question_route(s: SparkSession, d: str) -> DataFrame:
     k = F.length("title") % 3
     q = F.concat(F.when(k == 0, "How many times ").when(k == 1, "Explain the total of ").otherwise("What about "), "title")
     return table(s, d, "document_records").where("title is not null").select("id", R.route(q).alias("route"))
+
+
+@query(f"""
+    WITH {_LEGS}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS i FROM z) WHERE i <= 3)
+    SELECT query_id, string_agg(string_split(regexp_replace(regexp_replace(content, '^\\s+', ''), '([.!?])\\s+', '\\1' || chr(1)), chr(1))[1] || ' [Source ' || i || ']', ' ' ORDER BY i) AS answer FROM t GROUP BY 1""")
+def extractive_answers(s: SparkSession, d: str) -> DataFrame:
+    return R.extractive_answer(R.citations(R.top_k(_hybrid(s, d), 3, "chunk_id"), "chunk_id"), "content")
+
+
+@query()
+def api_ask(s: SparkSession, d: str) -> DataFrame:
+    """All three legs through the library's entry point."""
+    from civicspark.api import Records
+
+    c = _chunks(s, d)
+    names = s.createDataFrame(NAMES, "query_id int, name string")
+    return Records(table(s, d, "document_records"), c).ask(_questions(s), "tn-00000", names=names, today=TODAY)
