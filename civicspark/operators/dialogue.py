@@ -13,16 +13,27 @@ SLICE_S = 600
 _UP = Window.unboundedPreceding
 
 
+def latest_rows(df: DataFrame, key: str, received: str) -> DataFrame:
+    """Each key once, its latest received row; columns that are not used later are not shuffled either."""
+    order = F.struct(received, F.xxhash64(*df.columns))
+    return df.groupBy(key).agg(*[F.max_by(c, order).alias(c) for c in df.columns if c != key])
+
+
 def segments_of(df: DataFrame) -> DataFrame:
-    """(meeting_id, at, speaker, start_s, end_s, text, n_words, scores): each segment once, a null speaker as 'unknown'."""
-    row = F.struct("meeting_id", "start_s", "end_s", "text", "speaker", F.col("words.score").alias("scores"))
-    s = df.groupBy("segment_id").agg(F.max_by(row, F.struct("received_at", "text")).alias("r")).select("segment_id", "r.*").where("start_s is not null")
+    """(segment_id, meeting_id, at, speaker, start_s, end_s, text, n_words, scores): each segment once, a null speaker as 'unknown'.
+
+    Segments without a start are left out; a null end is the start.
+    """
+    s = latest_rows(df.select("segment_id", "meeting_id", "start_s", "end_s", "text", "speaker", "received_at", F.col("words.score").alias("scores")), "segment_id", "received_at").where("start_s is not null")
     n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != ""))
-    return s.select("meeting_id", F.struct("start_s", "segment_id").alias("at"), F.coalesce("speaker", F.lit("unknown")).alias("speaker"), "start_s", F.coalesce("end_s", "start_s").alias("end_s"), "text", n.alias("n_words"), "scores")
+    return s.select("segment_id", "meeting_id", F.struct("start_s", "segment_id").alias("at"), F.coalesce("speaker", F.lit("unknown")).alias("speaker"), "start_s", F.coalesce("end_s", "start_s").alias("end_s"), "text", n.alias("n_words"), "scores")
 
 
 def with_previous(df: DataFrame, group: str, at: str, time: Column, values: list[str], slice_s: float = SLICE_S) -> DataFrame:
-    """df with `prev`: the struct of `values` of the row before in order of `at` (null for a group's first row)."""
+    """df with `prev`: the struct of `values` of the row before in order of `at` (null for a group's first row).
+
+    Give it narrow rows: they are shuffled by group and slice.
+    """
     t = df.withColumn("__slice", F.floor(time / slice_s))
     tails = t.groupBy(group, "__slice").agg(F.max_by(F.struct(*values), at).alias("tail"))
     tails = tails.select(group, "__slice", F.lag("tail").over(Window.partitionBy(group).orderBy("__slice")).alias("__before"))
@@ -40,16 +51,24 @@ def with_island(df: DataFrame, group: str, at: str, opens: Column, name: str = "
     return t.withColumn(name, F.coalesce(name, "__carried")).drop("__open", "__carried", "__slice", "prev")
 
 
-def islands(seg: DataFrame, max_gap: float | None = 1.0) -> DataFrame:
-    """Turns of segments_of: runs of one speaker with gaps below max_gap (None: any gap), with text, words and scores."""
-    p = with_previous(seg, "meeting_id", "at", F.col("start_s"), ["speaker", "end_s"])
+def turn_keys(seg: DataFrame, max_gap: float | None = 1.0, slice_s: float = SLICE_S) -> DataFrame:
+    """(segment_id, meeting_id, speaker, at, end_s, turn): the segment that opens each segment's run of one speaker with gaps below max_gap."""
+    p = with_previous(seg.select("segment_id", "meeting_id", "at", "start_s", "end_s", "speaker"), "meeting_id", "at", F.col("start_s"), ["speaker", "end_s"], slice_s)
     opens = F.col("prev").isNull() | (F.col("prev.speaker") != F.col("speaker"))
     if max_gap is not None:
         opens = opens | (F.round(F.col("start_s") - F.col("prev.end_s"), 6) >= max_gap)
-    t = with_island(p, "meeting_id", "at", opens, "turn")
-    parts = F.array_sort(F.collect_list(F.struct("at", "text", "end_s")))
-    g = t.groupBy("meeting_id", "turn").agg(F.first("speaker").alias("speaker"), F.min("start_s").alias("start_s"), parts.alias("p"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_segments"), F.flatten(F.collect_list("scores")).alias("scores"))
-    return g.select("meeting_id", "turn", "speaker", "start_s", F.element_at("p.end_s", -1).alias("end_s"), F.array_join("p.text", " ").alias("text"), "n_words", "n_segments", "scores")
+    return with_island(p, "meeting_id", "at", opens, "turn").select("segment_id", "meeting_id", "speaker", "at", "end_s", "turn")
+
+
+def islands(seg: DataFrame, max_gap: float | None = 1.0) -> DataFrame:
+    """Turns of segments_of: runs of one speaker with gaps below max_gap (None: any gap), with text, words and scores.
+
+    Turns are found on narrow rows and brought back by segment, so texts are shuffled only to be joined.
+    """
+    t = seg.drop("meeting_id", "speaker").join(turn_keys(seg, max_gap).select("segment_id", "meeting_id", "speaker", "turn"), "segment_id")
+    parts = F.array_sort(F.collect_list(F.struct("at", "text")))
+    g = t.groupBy("meeting_id", "turn").agg(F.first("speaker").alias("speaker"), F.min("start_s").alias("start_s"), F.max_by("end_s", "at").alias("end_s"), parts.alias("p"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_segments"), F.flatten(F.collect_list("scores")).alias("scores"))
+    return g.select("meeting_id", "turn", "speaker", "start_s", "end_s", F.array_join("p.text", " ").alias("text"), "n_words", "n_segments", "scores")
 
 
 def metrics(turns: DataFrame) -> DataFrame:
@@ -62,12 +81,12 @@ def metrics(turns: DataFrame) -> DataFrame:
 
 def with_gaps(turns: DataFrame, rapid: float = 0.3) -> DataFrame:
     """turns with prev_speaker, latency, pause and overlap: a negative gap, or one below `rapid` at a change of speaker."""
-    p = with_previous(turns, "meeting_id", "turn", F.col("start_s"), ["speaker", "end_s"])
+    p = with_previous(turns.select("meeting_id", "turn", "start_s", "end_s", "speaker"), "meeting_id", "turn", F.col("start_s"), ["speaker", "end_s"])
     gap = F.round(F.col("start_s") - F.col("prev.end_s"), 6)
-    p = p.withColumn("prev_speaker", F.col("prev.speaker")).withColumn("latency", gap)
+    p = turns.join(p.select("meeting_id", "turn", F.col("prev.speaker").alias("prev_speaker"), gap.alias("latency")), ["meeting_id", "turn"])
     over = (F.col("latency") < 0) | ((F.col("latency") < rapid) & (F.col("prev_speaker") != F.col("speaker")))
     pause = F.when(F.col("latency").isNull(), F.col("start_s")).when(F.col("latency") < 0, 0.0).otherwise(F.col("latency"))
-    return p.withColumn("overlap", F.coalesce(over, F.lit(False))).withColumn("pause", pause).drop("prev", "__slice")
+    return p.withColumn("overlap", F.coalesce(over, F.lit(False))).withColumn("pause", pause)
 
 
 def dynamics(turns: DataFrame) -> DataFrame:
