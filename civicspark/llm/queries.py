@@ -72,7 +72,8 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_turns(spark, d).select("meeting_id", "first_segment_id", "last_segment_id")
+    t = transcripts.turns(table(spark, d, "segments"), table(spark, d, "meetings"), with_text=False)
+    return t.select("meeting_id", "first_segment_id", "last_segment_id")
 
 
 def p6_turns(spark: SparkSession, d: str) -> DataFrame:

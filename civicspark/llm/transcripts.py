@@ -15,10 +15,13 @@ from functools import cache
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from civicspark.operators.dialogue import latest_rows, with_island, with_previous
+from civicspark.session import cut
+
 #: Hesitations, and set phrases that are hesitations only outside a clause.
 HESITATIONS = ("uh", "um", "er", "erm", "ah", "eh", "hm", "hmm", "mm", "mhm", "mm-hmm", "uh-huh", "uhm", "huh")
 PHRASES = ("you know", "i mean")
@@ -179,42 +182,39 @@ def speaker_names(meetings: DataFrame) -> DataFrame:
     return m.where("name <> '' and number is not null").groupBy("meeting_id", "name").agg(F.min("number").alias("number"), F.collect_set("number").alias("numbers"))
 
 
-def turns(segments: DataFrame, meetings: DataFrame, max_gap: float = MAX_GAP_S, slice_s: int = SLICE_S) -> DataFrame:
-    """(meeting_id, first_segment_id, last_segment_id, speaker, start_s, end_s, n_segments, text), a row per turn.
+def turns(segments: DataFrame, meetings: DataFrame, max_gap: float = MAX_GAP_S, slice_s: float = SLICE_S, with_text: bool = True) -> DataFrame:
+    """(meeting_id, first_segment_id, last_segment_id, speaker, start_s, end_s, n_segments[, text]), a row per turn.
 
     Rows repeated for a segment_id count once (the latest received). Segments without a spoken word, or with a null meeting
     or start, are left out first; a null end is taken as the start. Order is by start, end and id. The speaker is the
     column's name or label, else the text's; all segments of a meeting without either are one speaker, 'unknown'.
     Labels that the meeting's map gives one name are one speaker. Empty tables give an empty result.
+    Speakers and turns are found on narrow rows; clean texts join them by segment at the end, if they are wanted.
     """
-    s = clean_segments(segments.where("meeting_id is not null and start_s is not null").select("segment_id", "meeting_id", "start_s", "end_s", "text", "speaker", "received_at"))
-    row = F.struct("meeting_id", "start_s", F.coalesce("end_s", "start_s").alias("end_s"), "label_no", "label_name", "text_name", "clean_text", "spoken")
-    s = s.groupBy("segment_id").agg(F.max_by(row, F.struct("received_at", "clean_text")).alias("r")).select("segment_id", "r.*").where("spoken")
+    cols = ["segment_id", "meeting_id", "start_s", "end_s", "text", "speaker", "received_at"]
+    c = clean_segments(segments.where("meeting_id is not null and start_s is not null").select(cols))
+    s = latest_rows(c.withColumn("end_s", F.coalesce("end_s", "start_s")), "segment_id", "received_at").where("spoken")
+    if with_text:
+        s = cut(s)
     names = speaker_names(meetings)
     by_name = names.select("meeting_id", F.col("name").alias("label_name"), F.col("number").alias("n1"))
     by_text = names.select("meeting_id", F.col("name").alias("text_name"), F.col("number").alias("n2"))
     by_no = names.where(F.size("numbers") > 1).select("meeting_id", F.explode("numbers").alias("no"), F.col("number").alias("n3"))
-    s = s.withColumn("label_name", _plain(F.col("label_name"))).withColumn("raw_name", F.col("text_name")).withColumn("text_name", _plain(F.col("text_name")))
-    s = s.join(by_name, ["meeting_id", "label_name"], "left").join(by_text, ["meeting_id", "text_name"], "left")
-    s = s.withColumn("no", F.coalesce("n1", "label_no", F.when(F.col("label_name").isNull(), F.col("n2")))).join(by_no, ["meeting_id", "no"], "left")
-    s = s.withColumn("speaker", F.coalesce(F.format_string("speaker %s", F.coalesce("n3", "no").cast("string")), F.lit("unknown")))
-    s = s.withColumn("speaker", F.when(F.coalesce("n3", "no").isNotNull(), F.col("speaker")).otherwise(F.coalesce(F.concat(F.lit("name "), "label_name"), F.lit("unknown"))))
-    s = s.withColumn("clean_text", F.when(F.col("n2").isNotNull(), F.ltrim(F.regexp_replace("clean_text", r"^(?:>>\s*)?[^:]{1,62}:\s*", ""))).otherwise(F.col("clean_text")))
-    s = s.select("meeting_id", F.floor(F.col("start_s") / slice_s).alias("slice"), F.struct("start_s", "end_s", "segment_id").alias("at"), "speaker", "clean_text")
-
-    slices, upto = Window.partitionBy("meeting_id").orderBy("slice"), Window.unboundedPreceding
-    rows = Window.partitionBy("meeting_id", "slice").orderBy("at")
-    tails = s.groupBy("meeting_id", "slice").agg(F.max_by(F.struct("speaker", "at.end_s"), "at").alias("tail"))
-    tails = tails.select("meeting_id", "slice", F.lag("tail").over(slices).alias("before"))
-    s = s.join(tails, ["meeting_id", "slice"])
-    prev = F.coalesce(F.lag(F.struct("speaker", "at.end_s")).over(rows), F.col("before"))
-    s = s.withColumn("prev", prev).withColumn("opens", F.col("prev").isNull() | (F.col("prev.speaker") != F.col("speaker")) | (F.round(F.col("at.start_s") - F.col("prev.end_s"), 6) >= max_gap))
-    s = s.withColumn("turn", F.last(F.when(F.col("opens"), F.col("at")), ignorenulls=True).over(rows.rowsBetween(upto, 0)))
-    opened = s.groupBy("meeting_id", "slice").agg(F.max("turn").alias("t"))
-    opened = opened.select("meeting_id", "slice", F.last("t", ignorenulls=True).over(slices.rowsBetween(upto, -1)).alias("carried"))
-    s = s.join(opened, ["meeting_id", "slice"]).withColumn("turn", F.coalesce("turn", "carried"))
-    out = s.groupBy("meeting_id", "turn").agg(
-        F.max("at").alias("last"), F.max("at.end_s").alias("end_s"), F.first("speaker").alias("speaker"), F.count("*").alias("n_segments"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "clean_text"))), lambda x: x["clean_text"]), " ").alias("text"),
-    )
-    return out.select("meeting_id", F.col("turn.segment_id").alias("first_segment_id"), F.col("last.segment_id").alias("last_segment_id"), "speaker", F.col("turn.start_s").alias("start_s"), "end_s", "n_segments", "text")
+    n = s.select("segment_id", "meeting_id", "start_s", "end_s", "label_no", _plain(F.col("label_name")).alias("label_name"), _plain(F.col("text_name")).alias("text_name"))
+    n = n.join(by_name, ["meeting_id", "label_name"], "left").join(by_text, ["meeting_id", "text_name"], "left")
+    n = n.withColumn("no", F.coalesce("n1", "label_no", F.when(F.col("label_name").isNull(), F.col("n2")))).join(by_no, ["meeting_id", "no"], "left")
+    number = F.coalesce("n3", "no")
+    speaker = F.when(number.isNotNull(), F.concat(F.lit("speaker "), number.cast("string"))).otherwise(F.coalesce(F.concat(F.lit("name "), "label_name"), F.lit("unknown")))
+    n = n.select("segment_id", "meeting_id", F.struct("start_s", "end_s", "segment_id").alias("at"), "start_s", "end_s", speaker.alias("speaker"), F.col("n2").isNotNull().alias("named"))
+
+    p = with_previous(n, "meeting_id", "at", F.col("start_s"), ["speaker", "end_s"], slice_s)
+    opens = F.col("prev").isNull() | (F.col("prev.speaker") != F.col("speaker")) | (F.round(F.col("start_s") - F.col("prev.end_s"), 6) >= max_gap)
+    t = with_island(p, "meeting_id", "at", opens, "turn")
+    out = [F.max("at").alias("last"), F.max("end_s").alias("end_s"), F.first("speaker").alias("speaker"), F.count("*").alias("n_segments")]
+    if with_text:
+        t = t.join(s.select("segment_id", "clean_text"), "segment_id")
+        said = F.when(F.col("named"), F.ltrim(F.regexp_replace("clean_text", r"^(?:>>\s*)?[^:]{1,62}:\s*", ""))).otherwise(F.col("clean_text"))
+        out.append(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", said.alias("t")))), lambda x: x["t"]), " ").alias("text"))
+    g = t.groupBy("meeting_id", "turn").agg(*out)
+    keep = ["speaker", F.col("turn.start_s").alias("start_s"), "end_s", "n_segments"] + (["text"] if with_text else [])
+    return g.select("meeting_id", F.col("turn.segment_id").alias("first_segment_id"), F.col("last.segment_id").alias("last_segment_id"), *keep)
