@@ -15,8 +15,9 @@ _UP = Window.unboundedPreceding
 
 def latest_rows(df: DataFrame, key: str, received: str) -> DataFrame:
     """Each key once, its latest received row; columns that are not used later are not shuffled either."""
-    order = F.struct(received, F.xxhash64(*df.columns))
-    return df.groupBy(key).agg(*[F.max_by(c, order).alias(c) for c in df.columns if c != key])
+    h = df.withColumn("__h", F.xxhash64(*df.columns))
+    w = Window.partitionBy(key).orderBy(F.desc(received), "__h")
+    return h.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__h")
 
 
 def segments_of(df: DataFrame) -> DataFrame:
