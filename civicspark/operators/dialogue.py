@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from civicspark.session import cut
+
 SLICE_S = 600
 _UP = Window.unboundedPreceding
 
@@ -54,11 +56,12 @@ def with_island(df: DataFrame, group: str, at: str, opens: Column, name: str = "
 
 def turn_keys(seg: DataFrame, max_gap: float | None = 1.0, slice_s: float = SLICE_S) -> DataFrame:
     """(segment_id, meeting_id, speaker, at, end_s, turn): the segment that opens each segment's run of one speaker with gaps below max_gap."""
-    p = with_previous(seg.select("segment_id", "meeting_id", "at", "start_s", "end_s", "speaker"), "meeting_id", "at", F.col("start_s"), ["speaker", "end_s"], slice_s)
+    narrow = cut(seg.select("segment_id", "meeting_id", "at", "start_s", "end_s", "speaker"))  # it is read again for the edges of slices
+    p = with_previous(narrow, "meeting_id", "at", F.col("start_s"), ["speaker", "end_s"], slice_s)
     opens = F.col("prev").isNull() | (F.col("prev.speaker") != F.col("speaker"))
     if max_gap is not None:
         opens = opens | (F.round(F.col("start_s") - F.col("prev.end_s"), 6) >= max_gap)
-    return with_island(p, "meeting_id", "at", opens, "turn").select("segment_id", "meeting_id", "speaker", "at", "end_s", "turn")
+    return with_island(cut(p), "meeting_id", "at", opens, "turn").select("segment_id", "meeting_id", "speaker", "at", "end_s", "turn")
 
 
 def islands(seg: DataFrame, max_gap: float | None = 1.0) -> DataFrame:
@@ -82,6 +85,7 @@ def metrics(turns: DataFrame) -> DataFrame:
 
 def with_gaps(turns: DataFrame, rapid: float = 0.3) -> DataFrame:
     """turns with prev_speaker, latency, pause and overlap: a negative gap, or one below `rapid` at a change of speaker."""
+    turns = cut(turns)
     p = with_previous(turns.select("meeting_id", "turn", "start_s", "end_s", "speaker"), "meeting_id", "turn", F.col("start_s"), ["speaker", "end_s"])
     gap = F.round(F.col("start_s") - F.col("prev.end_s"), 6)
     p = turns.join(p.select("meeting_id", "turn", F.col("prev.speaker").alias("prev_speaker"), gap.alias("latency")), ["meeting_id", "turn"])
