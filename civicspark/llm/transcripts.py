@@ -207,9 +207,9 @@ def turns(segments: DataFrame, meetings: DataFrame, max_gap: float = MAX_GAP_S,
     speaker = F.when(number.isNotNull(), F.concat(F.lit("speaker "), number.cast("string"))).otherwise(F.coalesce(F.concat(F.lit("name "), "label_name"), F.lit("unknown")))
     n = n.select("segment_id", "meeting_id", F.struct("start_s", "end_s", "segment_id").alias("at"), "start_s", "end_s", speaker.alias("speaker"), F.col("n2").isNotNull().alias("named"))
 
-    p = with_previous(n, "meeting_id", "at", F.col("start_s"), ["speaker", "end_s"], slice_s)
+    p = with_previous(cut(n), "meeting_id", "at", F.col("start_s"), ["speaker", "end_s"], slice_s)
     opens = F.col("prev").isNull() | (F.col("prev.speaker") != F.col("speaker")) | (F.round(F.col("start_s") - F.col("prev.end_s"), 6) >= max_gap)
-    t = with_island(p, "meeting_id", "at", opens, "turn")
+    t = with_island(cut(p), "meeting_id", "at", opens, "turn")
     out = [F.max("at").alias("last"), F.max("end_s").alias("end_s"), F.first("speaker").alias("speaker"), F.count("*").alias("n_segments")]
     if with_text:
         t = t.join(s.select("segment_id", "clean_text"), "segment_id")
