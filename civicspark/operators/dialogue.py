@@ -69,10 +69,10 @@ def islands(seg: DataFrame, max_gap: float | None = 1.0) -> DataFrame:
 
     Turns are found on narrow rows and brought back by segment, so texts are shuffled only to be joined.
     """
-    t = seg.drop("meeting_id", "speaker").join(turn_keys(seg, max_gap).select("segment_id", "meeting_id", "speaker", "turn"), "segment_id")
-    parts = F.array_sort(F.collect_list(F.struct("at", "text")))
-    g = t.groupBy("meeting_id", "turn").agg(F.first("speaker").alias("speaker"), F.min("start_s").alias("start_s"), F.max_by("end_s", "at").alias("end_s"), parts.alias("p"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_segments"), F.flatten(F.collect_list("scores")).alias("scores"))
-    return g.select("meeting_id", "turn", "speaker", "start_s", "end_s", F.array_join("p.text", " ").alias("text"), "n_words", "n_segments", "scores")
+    t = seg.select("segment_id", "at", "end_s", "text", "n_words", "scores").join(turn_keys(seg, max_gap).select("segment_id", "meeting_id", "speaker", "turn"), "segment_id").drop("segment_id")
+    parts = F.array_sort(F.collect_list(F.struct("at", "end_s", "text")))
+    g = t.groupBy("meeting_id", "turn").agg(F.first("speaker").alias("speaker"), parts.alias("p"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_segments"), F.flatten(F.collect_list("scores")).alias("scores"))
+    return g.select("meeting_id", "turn", "speaker", F.col("turn.start_s").alias("start_s"), F.element_at("p.end_s", -1).alias("end_s"), F.array_join("p.text", " ").alias("text"), "n_words", "n_segments", "scores")
 
 
 def metrics(turns: DataFrame) -> DataFrame:
