@@ -217,16 +217,28 @@ def claims_by_position(s: SparkSession, d: str) -> DataFrame:
     return R.by_position(p, "mean_wpm", f, ["query_id"], "pos").select("query_id", "chunk_id", "element")
 
 
+def _aligned(a: DataFrame, b: DataFrame) -> DataFrame:
+    j = R.range_join(a.select("segment_id", "meeting_id", F.col("start_s").alias("t")), b.select("meeting_id", "start_s", "text"), ["meeting_id"], "start_s", F.col("t") - 5, F.col("t") + 30, 35.0)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_s", "text"))), lambda x: x["text"]), " ")
+    return j.groupBy("segment_id").agg(F.count("*").alias("n"), joined.alias("text"))
+
+
 @query("""
     WITH g AS (SELECT DISTINCT segment_id, meeting_id, start_s, text FROM segments), a AS (SELECT * FROM g WHERE segment_id % 10 = 0), b AS (SELECT * FROM g WHERE segment_id % 10 <> 0)
     SELECT a.segment_id, count(*) AS n, string_agg(b.text, ' ' ORDER BY b.start_s, b.text) AS text FROM a JOIN b ON a.meeting_id = b.meeting_id AND b.start_s >= a.start_s - 5 AND b.start_s < a.start_s + 30 GROUP BY 1""")
 def window_align_join(s: SparkSession, d: str) -> DataFrame:
     """Text of one transcript around each anchor of another (here: every tenth segment and the rest)."""
     g = table(s, d, "segments").select("segment_id", "meeting_id", "start_s", "text").distinct()
-    a, b = g.where("segment_id % 10 = 0"), g.where("segment_id % 10 <> 0")
-    j = R.range_join(a.select("segment_id", "meeting_id", F.col("start_s").alias("t")), b.select("meeting_id", "start_s", "text"), ["meeting_id"], "start_s", F.col("t") - 5, F.col("t") + 30, 35.0)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_s", "text"))), lambda x: x["text"]), " ")
-    return j.groupBy("segment_id").agg(F.count("*").alias("n"), joined.alias("text"))
+    return _aligned(g.where("segment_id % 10 = 0"), g.where("segment_id % 10 <> 0"))
+
+
+@query("""
+    WITH g AS (SELECT DISTINCT segment_id, meeting_id, start_s, text FROM segments)
+    SELECT a.segment_id, count(*) AS n, string_agg(b.text, ' ' ORDER BY b.start_s, b.text) AS text FROM g a JOIN g b ON a.meeting_id = b.meeting_id AND b.start_s >= a.start_s - 5 AND b.start_s < a.start_s + 30 GROUP BY 1""")
+def window_align_all(s: SparkSession, d: str) -> DataFrame:
+    """Text of the meeting around every segment, its own included."""
+    g = table(s, d, "segments").select("segment_id", "meeting_id", "start_s", "text").distinct()
+    return _aligned(g, g)
 
 
 @query(f"SELECT c.id, c.document_id FROM {CHUNKS_SQL} c WHERE document_id IN (SELECT document_id FROM (SELECT document_id, max(rrf_score) AS m FROM fused_chunks GROUP BY 1) ORDER BY m DESC NULLS LAST, document_id LIMIT 20)")

@@ -83,6 +83,16 @@ def holm(s: SparkSession, d: str) -> DataFrame:
     return S.holm(o, ["grp"], "p").select("grp", "k", "rejected")
 
 
+@query("""
+    WITH p AS (SELECT o_orderkey % 50 AS grp, o_orderkey AS k, (o_orderkey * 7919 % 10007) / 10007.0 * 0.02 AS p FROM orders),
+         t AS (SELECT *, 0.05 / (count(*) OVER (PARTITION BY grp) - row_number() OVER (PARTITION BY grp ORDER BY p, k) + 1) AS threshold FROM p)
+    SELECT grp, k, bool_and(p < threshold) OVER (PARTITION BY grp ORDER BY p, k) AS rejected FROM t""")
+def holm_all(s: SparkSession, d: str) -> DataFrame:
+    """Holm's procedure over every order (holm takes the first 2,000 keys)."""
+    o = table(s, d, "orders").select((F.col("o_orderkey") % 50).alias("grp"), F.col("o_orderkey").alias("k"), (F.col("o_orderkey") * 7919 % 10007 / 10007.0 * 0.02).alias("p"))
+    return S.holm(o, ["grp"], "p").select("grp", "k", "rejected")
+
+
 @query(f"WITH {_SERIES} SELECT name, tenant_id, count(*) AS n, round(regr_slope(share, day - DATE '2015-01-01'), 9) AS slope FROM s GROUP BY ALL HAVING count(DISTINCT day) > 2")
 def trend_slopes(s: SparkSession, d: str) -> DataFrame:
     x = _series(s, d).withColumn("x", F.datediff("day", F.lit("2015-01-01").cast("date")))
