@@ -71,12 +71,46 @@ def purge_log(s: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_C}, {_KEEP}, {_LOW}, x AS ({_PURGE}) SELECT count(*) AS rows_left, 0 AS groups_left FROM c WHERE id NOT IN (SELECT id FROM x)")
 def purge_verify_zero(s: SparkSession, d: str) -> DataFrame:
     """What is left after the purge, and the duplicate groups in it (none)."""
-    c = _chunks(s, d)
+    return _left(_chunks(s, d))
+
+
+def _left(c: DataFrame) -> DataFrame:
     rest = dedup.purged(c, dedup.purge_log(c, "content", "title", "meeting_date", "chunk_index", "id"), "id")
     groups = rest.groupBy(*dedup.content_key(F.col("content"), F.col("title"))).agg(F.count("*").alias("n"))
     return groups.agg(F.sum("n").alias("rows_left"), F.count_if(F.col("n") > 1).cast("int").alias("groups_left"))
 
 
+def _stored(s: SparkSession, d: str) -> DataFrame:
+    """Chunks as points with their content as stored."""
+    return table(s, d, "chunks").dropDuplicates(["id"]).select("id", "chunk_index", "content", F.col("metadata.title").alias("title"), F.col("metadata.meeting_date").alias("meeting_date"))
+
+
+_STORED = """c AS (SELECT id, chunk_index, content, metadata.title AS title, metadata.meeting_date AS meeting_date FROM chunks QUALIFY row_number() OVER (PARTITION BY id) = 1),
+     k AS (SELECT *, sha256(coalesce(content, '')) AS h, coalesce(title, '') AS t FROM c)"""
+
+
+@query(f"""
+    WITH {_STORED} SELECT h AS content_hash, t AS group_title, count(*) AS n, count(*) - 1 AS removable, min(meeting_date) AS first_date, max(meeting_date) AS last_date,
+           coalesce(string_agg(DISTINCT meeting_date, ',' ORDER BY meeting_date), '') AS dates FROM k GROUP BY ALL HAVING count(*) > 1""")
+def dup_groups_stored(s: SparkSession, d: str) -> DataFrame:
+    return dedup.duplicate_groups(_stored(s, d), "content", "title", "meeting_date")
+
+
+@query(f"WITH {_STORED}, {_KEEP} SELECT id, kept_id, kept FROM p WHERE n > 1")
+def dup_keepers_stored(s: SparkSession, d: str) -> DataFrame:
+    return dedup.keepers(_stored(s, d), "content", "title", "meeting_date", "chunk_index", "id")
+
+
+@query(f"WITH {_STORED}, {_KEEP}, {_LOW} {_PURGE}")
+def purge_log_stored(s: SparkSession, d: str) -> DataFrame:
+    return dedup.purge_log(_stored(s, d), "content", "title", "meeting_date", "chunk_index", "id")
+
+
+@query(f"WITH {_STORED}, {_KEEP}, {_LOW}, x AS ({_PURGE}) SELECT count(*) AS rows_left, 0 AS groups_left FROM c WHERE id NOT IN (SELECT id FROM x)")
+def purge_verify_stored(s: SparkSession, d: str) -> DataFrame:
+    return _left(_stored(s, d))
+
+
 @query("SELECT doc_id, tenant_id FROM documents WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1")
 def first_occurrence(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "documents").where("text is not null").select("doc_id", "tenant_id", F.md5("text").alias("h"))

@@ -1,6 +1,6 @@
 """The whole-table queries on fixtures, by brute force."""
 
-from civicspark.plans import relational, stats_queries
+from civicspark.plans import dedup_queries, relational, stats_queries
 
 
 def test_holm_takes_every_order(spark, tmp_path):
@@ -25,3 +25,25 @@ def test_every_segment_is_aligned(spark, tmp_path):
         near = sorted((u, x) for _, n, u, x in rows if n == m and t - 5 <= u < t + 30)
         want[i] = (len(near), " ".join(x for _, x in near))
     assert {r.segment_id: (r.n, r.text) for r in relational.QUERIES["window_align_all"](spark, str(tmp_path)).collect()} == want
+
+
+LONG = "The board approved the budget of the coming year after a long debate about "
+
+
+def chunks(spark, path):
+    rows = [
+        ("a", 3, LONG + "schools", "t", "2024-01-02"), ("b", 8, LONG + "roads", "t", "2024-01-01"), ("c", 3, LONG + "schools", "t", "2024-01-01"), ("d", 4, LONG + "schools", "t", None),
+        ("e", 5, LONG + "schools", "other", None), ("f", 0, "too short", "t", None), ("g", 1, "Intentionally" + " " * 60 + "blank", "t", None), ("h", 2, "# " + "Header " * 12, "t", None), ("i", 2, None, "t", None),
+    ]
+    c = spark.createDataFrame([(i, k, x, (t, m)) for i, k, x, t, m in rows], "id string, chunk_index int, content string, metadata struct<title string, meeting_date string>")
+    c.write.parquet(f"{path}/chunks.parquet")
+    return {r[0]: r for r in rows}
+
+
+def test_stored_texts_are_purged_whole(spark, tmp_path):
+    chunks(spark, tmp_path)
+    q = lambda name: dedup_queries.QUERIES[name](spark, str(tmp_path)).collect()
+    assert [(r.n, r.group_title, r.dates) for r in q("dup_groups_stored")] == [(3, "t", "2024-01-01,2024-01-02")]
+    assert {(r.id, r.kept_id, r.kept) for r in q("dup_keepers_stored")} == {("a", "c", False), ("c", "c", True), ("d", "c", False)}
+    assert {(r.id, r.reason, r.kept_id) for r in q("purge_log_stored")} == {("a", "duplicate", "c"), ("d", "duplicate", "c"), ("f", "short", None), ("g", "short", None)}
+    assert [tuple(r) for r in q("purge_verify_stored")] == [(5, 0)]
