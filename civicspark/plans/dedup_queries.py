@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicspark.operators import corpus, dedup
-from civicspark.plans.scalars import _PAGE_SQL, classed_pages
+from civicspark.plans.scalars import _PAGE_SQL, _STORED_PAGE_SQL, classed_pages, stored_pages
 from civicspark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,6 +147,20 @@ def ocr_estimate(s: SparkSession, d: str) -> DataFrame:
     return x.select("scenario", F.round("minutes", 6).alias("minutes"))
 
 
+_STORED_DOCS = _DOCS.replace(_PAGE_SQL, _STORED_PAGE_SQL)
+
+
+@query(f"WITH {_STORED_DOCS} SELECT document_id, pages, rich, sparse, image, unreadable, class, ocr_minutes FROM r")
+def doc_classification_stored(s: SparkSession, d: str) -> DataFrame:
+    return corpus.classify_documents(stored_pages(s, d), "document_id", "kind")
+
+
+@query(f"WITH {_STORED_DOCS}, t AS (SELECT sum(ocr_minutes) AS m FROM r) SELECT 'low' AS scenario, round(m * 0.8, 6) AS minutes FROM t UNION ALL SELECT 'expected', round(m, 6) FROM t UNION ALL SELECT 'high', round(m * 1.5, 6) FROM t")
+def ocr_estimate_stored(s: SparkSession, d: str) -> DataFrame:
+    x = corpus.ocr_scenarios(corpus.classify_documents(stored_pages(s, d), "document_id", "kind"))
+    return x.select("scenario", F.round("minutes", 6).alias("minutes"))
+
+
 @query("""
     SELECT document_type, count(*) AS n, sum(length(content_text)) AS total, round(avg(length(content_text)), 6) AS mean, max(length(content_text)) AS most, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM document_records GROUP BY 1""")
 def corpus_profile(s: SparkSession, d: str) -> DataFrame:

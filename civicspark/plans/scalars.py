@@ -138,18 +138,43 @@ def low_value_class(s: SparkSession, d: str) -> DataFrame:
     return c.select("id", "content", X.dense_length(F.col("content")).alias("dense"), X.low_value(F.col("content"), F.col("title")).alias("class"))
 
 
+@query(rf"""
+    WITH c AS (SELECT id, metadata.title AS title, content AS t FROM chunks),
+         h AS (SELECT *, {_STRIP.format("regexp_replace(" + _STRIP.format("t") + r", '^#{1,6}[ \t][^\n]*\n?', '')")} AS body FROM c)
+    SELECT id, length(regexp_replace(t, '\s', '', 'g')) AS dense,
+           CASE WHEN length(regexp_replace(t, '\s', '', 'g')) < 50 AND length(regexp_replace(body, '\s', '', 'g')) < 50 THEN 'short'
+                WHEN regexp_matches(t, '(?i)^\s*(this\s+page\s+(is\s+)?intentionally\s+(left\s+)?blank)\s*$') OR regexp_matches(t, '(?i)^\s*intentionally\s+blank\s*$') THEN 'blank'
+                WHEN body = '' OR lower(body) = lower({_STRIP.format("coalesce(title, '')")}) THEN 'header' END AS class
+    FROM h""")
+def low_value_stored(s: SparkSession, d: str) -> DataFrame:
+    """low_value_class on the content as stored."""
+    c = table(s, d, "chunks").select("id", "content", F.col("metadata.title").alias("title"))
+    return c.select("id", X.dense_length(F.col("content")).alias("dense"), X.low_value(F.col("content"), F.col("title")).alias("class"))
+
+
 _PAGE_SQL = r"""
     p AS (SELECT id, document_id, page_number, CASE page_number % 4 WHEN 0 THEN left(content_text, 60) WHEN 3 THEN left(content_text, 6) ELSE content_text END AS t, 484704.0 AS area FROM document_pages),
     q AS (SELECT *, length(regexp_replace(coalesce(t, ''), '^\s+|\s+$', '', 'g')) AS n, len(list_filter(string_split_regex(coalesce(t, ''), '\s+'), lambda x: length(x) >= 3)) AS w FROM p),
     k AS (SELECT *, CASE WHEN n > 100 AND n / area > 0.001 AND w >= 3 THEN 'TEXT_RICH' WHEN n >= 10 THEN 'TEXT_SPARSE' ELSE 'IMAGE_ONLY' END AS kind FROM q)"""
 
 
+_STORED_PAGE_SQL = _PAGE_SQL.replace("CASE page_number % 4 WHEN 0 THEN left(content_text, 60) WHEN 3 THEN left(content_text, 6) ELSE content_text END", "content_text")
+
+
 def classed_pages(s: SparkSession, d: str) -> DataFrame:
     """Pages cut short in part, so that all classes occur."""
     k = F.col("page_number") % 4
     t = F.when(k == 0, F.left("content_text", F.lit(60))).when(k == 3, F.left("content_text", F.lit(6))).otherwise(F.col("content_text"))
-    p = table(s, d, "document_pages").select("id", "document_id", "page_number", t.alias("t"))
-    return p.withColumn("kind", X.page_class(F.col("t"), F.lit(484704.0)))
+    return _classed(table(s, d, "document_pages").withColumn("t", t))
+
+
+def stored_pages(s: SparkSession, d: str) -> DataFrame:
+    """Pages with their whole text."""
+    return _classed(table(s, d, "document_pages").withColumn("t", F.col("content_text")))
+
+
+def _classed(p: DataFrame) -> DataFrame:
+    return p.select("id", "document_id", "page_number", "t").withColumn("kind", X.page_class(F.col("t"), F.lit(484704.0)))
 
 
 @query(f"""
@@ -161,6 +186,15 @@ def page_classes(s: SparkSession, d: str) -> DataFrame:
     return p.select("id", "page_number", "kind", X.ocr_overlay(F.col("t"), F.col("kind"), COMMON, ratio=0.1).alias("overlay"))
 
 
+@query(f"""
+    WITH {_STORED_PAGE_SQL}
+    SELECT id, page_number, kind, kind = 'TEXT_SPARSE' AND len(list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '')) >= 5
+        AND len(list_filter(list_filter(string_split_regex(lower(t), '\\s+'), lambda x: x <> ''), lambda x: list_contains({_COMMON_SQL}, trim(x, '.,;:!?()[]{{}}"''')))) / len(list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '')) < 0.1 AS overlay FROM k""")
+def page_classes_stored(s: SparkSession, d: str) -> DataFrame:
+    p = stored_pages(s, d)
+    return p.select("id", "page_number", "kind", X.ocr_overlay(F.col("t"), F.col("kind"), COMMON, ratio=0.1).alias("overlay"))
+
+
 _HTML_SQL = "'<!-- note --><div><dl><dt> Type </dt><dd> ' || coalesce(document_type, '') || ' </dd></dl><p>' || coalesce(title, '') || '</p><style>p {}</style>A &amp; B<br/></div><div class=\"goal\"><div class=\"name\">' || coalesce(committee_name, '') || '</div></div>'"
 
 

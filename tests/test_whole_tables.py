@@ -1,6 +1,6 @@
 """The whole-table queries on fixtures, by brute force."""
 
-from civicspark.plans import dedup_queries, relational, stats_queries
+from civicspark.plans import dedup_queries, relational, scalars, stats_queries
 
 
 def test_holm_takes_every_order(spark, tmp_path):
@@ -47,3 +47,18 @@ def test_stored_texts_are_purged_whole(spark, tmp_path):
     assert {(r.id, r.kept_id, r.kept) for r in q("dup_keepers_stored")} == {("a", "c", False), ("c", "c", True), ("d", "c", False)}
     assert {(r.id, r.reason, r.kept_id) for r in q("purge_log_stored")} == {("a", "duplicate", "c"), ("d", "duplicate", "c"), ("f", "short", None), ("g", "short", None)}
     assert [tuple(r) for r in q("purge_verify_stored")] == [(5, 0)]
+
+
+def test_stored_texts_are_classed_whole(spark, tmp_path):
+    rich = "some words of a page " * 40
+    pages = [(f"p{n}", "d", n, x) for n, x in [(3, rich), (4, rich), (7, rich), (8, "a few words"), (11, ""), (12, None)]]
+    spark.createDataFrame(pages, "id string, document_id string, page_number int, content_text string").write.parquet(f"{tmp_path}/document_pages.parquet")
+    got = {r.id: r.kind for r in scalars.QUERIES["page_classes_stored"](spark, str(tmp_path)).collect()}
+    assert got == {"p3": "TEXT_RICH", "p4": "TEXT_RICH", "p7": "TEXT_RICH", "p8": "TEXT_SPARSE", "p11": "IMAGE_ONLY", "p12": "IMAGE_ONLY"}
+    r = dedup_queries.QUERIES["doc_classification_stored"](spark, str(tmp_path)).first()
+    assert (r.pages, r.rich, r.sparse, r.image, r["class"], r.ocr_minutes) == (6, 3, 1, 2, "MIXED_CONTENT", 1.015)
+    e = {r.scenario: r.minutes for r in dedup_queries.QUERIES["ocr_estimate_stored"](spark, str(tmp_path)).collect()}
+    assert e == {"low": 0.812, "expected": 1.015, "high": 1.5225}
+    chunks(spark, tmp_path)
+    low = {r.id: r["class"] for r in scalars.QUERIES["low_value_stored"](spark, str(tmp_path)).collect()}
+    assert low == {"a": None, "b": None, "c": None, "d": None, "e": None, "f": "short", "g": "short", "h": "header", "i": None}
