@@ -8,6 +8,8 @@
    to the shards of 32 bands of four minima each, and a tree holds one shard. See the README.
 3. Each tree gives the nearest link to every other group of its shard, never all pairs; links of all shards are checked by
    exact Jaccard similarity of the runs of three, and connected components of the confirmed links are the groups.
+4. A link that the check rejects may have kept a true one back, so shards that gave one are searched again: there each
+   text gives its nearest hits outside its confirmed group, eight first, then 64, then all, until none is left out.
 
 Copies that are equal but for case and layout are one node from the start, so a group of copies with a third of all rows
 is pre-aggregated. Shards beyond SHARD_ROWS are split: each part has its own tree, and the texts of the other parts
@@ -39,6 +41,8 @@ SAMPLE_NODES = 128
 #: Rows of a key set up to which it is broadcast.
 BROADCAST_ROWS = 500_000
 BLOCK = 1 << 15
+#: Nearest hits of each text that the searches after the first give (None: all).
+AGAIN = (8, 64, None)
 
 _UNIT = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
 _RNG = np.random.default_rng(20240229)
@@ -166,6 +170,22 @@ def shard_links(nodes: list[int], sketches: list[int], member: list[bool], radiu
     return out
 
 
+def open_hits(nodes: list[int], sketches: list[int], member: list[bool], groups: list[int], most: int | None, radius: int = RADIUS) -> tuple[list[tuple[int, int]], bool]:
+    """The `most` nearest hits (None: all) from each text to texts of other groups, and whether any were left out."""
+    tree, at, out, left_out = BKTree(), [], [], False
+    for inside in (True, False):
+        for i, m in enumerate(member):
+            if m is not inside:
+                continue
+            hits = [at[k] for _, k in sorted(tree.within(sketches[i], radius)) if groups[at[k]] != groups[i]]
+            left_out |= most is not None and len(hits) > most
+            out += [(nodes[i], nodes[k]) for k in hits[:most]]
+            if inside:
+                tree.add(sketches[i])
+                at.append(i)
+    return out, left_out
+
+
 def fingerprints(df: DataFrame, id_col: str, text: str, table_name: str) -> DataFrame:
     """(table_name, id, node, sketch, bands) of every text with a word; node is equal for texts equal but for case and layout."""
 
@@ -195,9 +215,15 @@ def _hinted(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def candidate_links(reps: DataFrame, shard_rows: int = SHARD_ROWS, radius: int = RADIUS, sample: int = SAMPLE_NODES) -> DataFrame:
-    """(a, b) with a < b, from the trees of all shards; reps has node, sketch and bands once per node."""
-    rows = reps.select(F.explode("bands").alias("band"), "node", "sketch")
+def candidate_links(reps: DataFrame, shard_rows: int = SHARD_ROWS, radius: int = RADIUS, sample: int = SAMPLE_NODES, again: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """(a, b) with a < b, from the trees of all shards; reps has node, sketch and bands once per node.
+
+    again: bands to search once more for the `most` nearest hits of each text outside its group (reps then has grp); a row
+    with a null b says that hits were left out.
+    """
+    rows = reps.select(F.explode("bands").alias("band"), "node", "sketch", F.lit(0).cast("bigint").alias("grp") if again is None else "grp")
+    if again is not None:
+        rows = rows.join(_hinted(again), "band", "left_semi")
     hot = rows.where(F.pmod(F.xxhash64("node"), F.lit(sample)) == 0).groupBy("band").count().where(F.col("count") * sample > shard_rows)
     hot = cut(hot.select("band", F.ceil(F.col("count") * sample / shard_rows).cast("int").alias("parts")))
     rows = rows.withColumn("member", F.lit(True))
@@ -206,17 +232,28 @@ def candidate_links(reps: DataFrame, shard_rows: int = SHARD_ROWS, radius: int =
         split = rows.join(F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, "band", "left")
         part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
         split = split.withColumn("part", part).withColumn("to", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("part"))))
-        rows = split.select(F.when(F.col("parts").isNull(), F.col("band")).otherwise(F.xxhash64("band", "to")).alias("band"), "node", "sketch", (F.col("to") == F.col("part")).alias("member"))
+        rows = split.select(F.when(F.col("parts").isNull(), F.col("band")).otherwise(F.xxhash64("band", "to")).alias("band"), "node", "sketch", "grp", (F.col("to") == F.col("part")).alias("member"))
+
+    first = again is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
+        left_out = False
         for r in key_runs(batches):
-            _, nodes, sketches, member = (c.to_pylist() for c in r.columns)
-            out += shard_links(nodes, [s & 0xFFFFFFFFFFFFFFFF for s in sketches], member, radius)
+            _, nodes, sketches, groups, member = (c.to_pylist() for c in r.columns)
+            sketches = [s & 0xFFFFFFFFFFFFFFFF for s in sketches]
+            if not first:
+                hits, more = open_hits(nodes, sketches, member, groups, most, radius)
+                out += hits
+                left_out |= more
+            else:
+                out += shard_links(nodes, sketches, member, radius)
             if len(out) > 50_000:
                 yield _pairs(out)
                 out = []
         yield _pairs(out)
+        if left_out:
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([None], pa.int64())], names=["a", "b"])
 
     return rows.repartition("band").sortWithinPartitions("band", "node").mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -232,6 +269,22 @@ def jaccard(a: str, b: str, hasher: Hasher, n: int = WORDS) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def _checked(links: DataFrame, members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, ok) of the links: whether the texts have more than `threshold` of their runs in common."""
+    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    rep_ids = _hinted(members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("table_name", "id")).alias("r")).select("node", "r.*"))
+    held = cut(texts.where("text is not null").join(rep_ids, ["table_name", "id"]).dropDuplicates(["node"]).select("node", "text"))
+    pairs = links.join(held.toDF("a", "text_a"), "a").join(held.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for b in batches:
+            ok = [jaccard(x, y, hasher) > threshold for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    return cut(pairs.mapInArrow(check, "a bigint, b bigint, ok boolean"))
+
+
 def edited_copies(tables: dict[str, tuple[DataFrame, str, str]], threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, radius: int = RADIUS, sample: int = SAMPLE_NODES) -> DataFrame:
     """(table_name, id, group_id, links): a row for every id with a text of a word or more.
 
@@ -251,20 +304,27 @@ def edited_copies(tables: dict[str, tuple[DataFrame, str, str]], threshold: floa
     members = prints.select("table_name", "id", "node").distinct()
     reps = prints.select("node", "sketch", "bands").dropDuplicates(["node"])
     links = cut(candidate_links(reps, shard_rows, radius, sample))
-    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    rep_ids = _hinted(members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("table_name", "id")).alias("r")).select("node", "r.*"))
-    held = cut(texts.where("text is not null").join(rep_ids, ["table_name", "id"]).dropDuplicates(["node"]).select("node", "text"))
-    pairs = links.join(held.toDF("a", "text_a"), "a").join(held.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for b in batches:
-            ok = [jaccard(x, y, hasher) > threshold for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    sure = cut(pairs.mapInArrow(check, "a bigint, b bigint"))
+    checked = _checked(links, members, texts, threshold)
+    groups = connected_components(checked.where("ok"))
+    false = checked.where("not ok")
+    for most in AGAIN:
+        if false.isEmpty():
+            break
+        bands = reps.select("node", "bands")
+        shared = false.join(bands.toDF("a", "x"), "a").join(bands.toDF("b", "y"), "b").select(F.explode(F.array_intersect("x", "y")).alias("band")).distinct()
+        grouped = reps.join(groups, "node", "left").select("node", "sketch", "bands", F.coalesce("component", "node").alias("grp"))
+        found = cut(candidate_links(grouped, shard_rows, radius, sample, shared, most))
+        done = found.where("b is null").isEmpty()
+        new = cut(found.where("b is not null").join(checked.select("a", "b"), ["a", "b"], "left_anti"))
+        if not new.isEmpty():
+            checked = checked.union(_checked(new, members, texts, threshold))
+            groups = connected_components(checked.where("ok"))
+        if done:
+            break
+        false = checked.where("not ok")
+    sure = checked.where("ok").select("a", "b")
+    groups = groups.withColumnRenamed("component", "group_id")
     degree = sure.select(F.col("a").alias("node")).union(sure.select("b")).groupBy("node").agg(F.count("*").alias("links"))
-    groups = connected_components(sure).withColumnRenamed("component", "group_id")
     out = members.join(groups.join(degree, "node"), "node", "left")
     return out.select("table_name", "id", F.coalesce("group_id", "node").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
