@@ -79,7 +79,7 @@ def _places(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
             up = len(both) < 2 or np.ptp(score[both]) == 0 or np.corrcoef(rank[both], score[both])[0, 1] <= 0
             s = np.where(up, -score, score)
             if len(both):
-                o = both[np.argsort(s[both])]
+                o = both[np.lexsort((rank[both], s[both]))]  # of equal scores the last counts from above, the first from below
                 key[lone] = np.interp(s[at[lone]], s[o], rank[o], left=0.5, right=rank[o].max() + 0.5)
             else:
                 key[lone] = s[at[lone]]
@@ -92,15 +92,57 @@ def _rank_groups(q: object, g: pd.DataFrame, damping: float, rounds: int) -> pd.
     return pd.DataFrame({"q": q, "i": items, "mass": walk(places, damping, rounds)})
 
 
-def _rank_hot(long: DataFrame, damping: float, rounds: int, bucket: int) -> DataFrame:
-    """The same walk for queries of any size: prefix sums over rank buckets, whose totals are summed first.
+def _keys_hot(long: DataFrame) -> DataFrame:
+    """(q, i, leg, key): the rank, or the place of a lone score between the ranked ones by the rule of _places.
 
-    Rows placed by a score alone follow the ranked ones and tie.
+    Distinct scores are numbered by slices of a range partitioning, and the nearest ranked scores below and above a slice are
+    carried over from the slices' edges, so no leg is sorted in one task.
     """
+    n, up = "rank is not null and score is not null", Window.unboundedPreceding
+    long = cut(long.withColumn("rank", F.col("rank").cast("double")))
+    lone = long.where("rank is null").select("q", "leg").distinct()
+    both = long.where(n).groupBy("q", "leg").agg(F.count("*").alias("both"), F.min("score").alias("lo"), F.max("score").alias("hi"), F.corr("rank", "score").alias("r"), F.max("rank").alias("most"))
+    rule = cut(lone.join(both, ["q", "leg"], "left").withColumn("up", F.col("both").isNull() | (F.col("both") < 2) | (F.col("lo") == F.col("hi")) | (F.coalesce("r", F.lit(float("nan"))) <= 0)))
+    some = long.where("score is not null").join(rule, ["q", "leg"]).withColumn("s", F.when(F.col("up"), -F.col("score")).otherwise(F.col("score")))
+    some = some.groupBy("q", "leg", "s").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.first("most").alias("most"), F.first("both").alias("both"))
+    some = cut(some.repartitionByRange("q", "leg", "s").withColumn("z", F.spark_partition_id()))
+    known = F.when(F.col("first").isNotNull(), F.struct("s", "first", "last"))
+    edge = some.groupBy("q", "leg", "z").agg(F.min(known).alias("low"), F.max(known).alias("high"))
+    over = Window.partitionBy("q", "leg")
+    edge = edge.select("q", "leg", "z", F.last("high", True).over(over.orderBy("z").rowsBetween(up, -1)).alias("before"), F.last("low", True).over(over.orderBy(F.desc("z")).rowsBetween(up, -1)).alias("after"))
+    inside = Window.partitionBy("q", "leg", "z")
+    some = some.join(edge, ["q", "leg", "z"])
+    a = F.coalesce(F.last(known, True).over(inside.orderBy("s").rowsBetween(up, -1)), F.col("before"))
+    b = F.coalesce(F.last(known, True).over(inside.orderBy(F.desc("s")).rowsBetween(up, -1)), F.col("after"))
+    some = some.withColumn("a", a).withColumn("b", b)
+    slope = (F.col("b.first") - F.col("a.last")) / (F.col("b.s") - F.col("a.s"))
+    key = (
+        F.when(F.col("both").isNull(), F.col("s")).when(F.col("last").isNotNull(), F.col("last")).when(F.col("a").isNull(), F.lit(0.5)).when(F.col("b").isNull(), F.col("most") + 0.5)
+        .otherwise(slope * (F.col("s") - F.col("a.s")) + F.col("a.last"))
+    )
+    placed = some.select("q", "leg", "s", key.alias("key"))
+    rest = long.where("rank is null").join(rule.select("q", "leg", "up"), ["q", "leg"]).withColumn("s", F.when(F.col("up"), -F.col("score")).otherwise(F.col("score")))
+    rest = rest.join(placed, ["q", "leg", "s"]).select("q", "i", "leg", "key")
+    return long.where("rank is not null").select("q", "i", "leg", F.col("rank").alias("key")).union(rest)
+
+
+def _dense(keyed: DataFrame) -> DataFrame:
+    """(q, i, leg, rank): the number of distinct keys of the leg below, so that buckets of it are even."""
+    up = Window.unboundedPreceding
+    d = cut(keyed.select("q", "leg", "key").distinct().repartitionByRange("q", "leg", "key").withColumn("z", F.spark_partition_id()))
+    per = d.groupBy("q", "leg", "z").agg(F.count("*").alias("c"))
+    per = per.select("q", "leg", "z", F.coalesce(F.sum("c").over(Window.partitionBy("q", "leg").orderBy("z").rowsBetween(up, -1)), F.lit(0)).alias("before"))
+    at = F.row_number().over(Window.partitionBy("q", "leg", "z").orderBy("key")) - 1
+    d = d.withColumn("at", at).join(per, ["q", "leg", "z"])
+    return keyed.join(d.select("q", "leg", "key", (F.col("at") + F.col("before")).cast("double").alias("rank")), ["q", "leg", "key"]).select("q", "i", "leg", "rank")
+
+
+def _rank_hot(long: DataFrame, damping: float, rounds: int, bucket: int) -> DataFrame:
+    """The same walk for queries of any size: prefix sums over rank buckets, whose totals are summed first."""
     odds = (1 - damping) / damping
     up, down = Window.unboundedPreceding, -1
     leg = Window.partitionBy("q", "leg")
-    long = long.select("q", "i", "leg", F.coalesce(F.col("rank").cast("double"), F.lit(1e15)).alias("rank")).withColumn("b", F.floor(F.col("rank") / bucket))
+    long = _dense(cut(_keys_hot(long))).withColumn("b", F.floor(F.col("rank") / bucket))
     fine = long.groupBy("q", "leg", "b", "rank").agg(F.count("*").alias("n"))
     coarse = fine.groupBy("q", "leg", "b").agg(F.sum("n").alias("nb")).withColumn("before", F.coalesce(F.sum("nb").over(leg.orderBy("b").rowsBetween(up, down)), F.lit(0)))
     fine = fine.withColumn("c", F.coalesce(F.sum("n").over(Window.partitionBy("q", "leg", "b").orderBy("rank").rowsBetween(up, down)), F.lit(0)))
@@ -136,13 +178,12 @@ def combined_ranking(df: DataFrame, query: str = "query_id", item: str = "chunk_
     long = legs_long(df, query, item, ranks, scores)
     kinds = dict(long.dtypes)
     schema = T.StructType([T.StructField("q", long.schema["q"].dataType), T.StructField("i", long.schema["i"].dataType), T.StructField("mass", T.DoubleType())])
-    hot = [r[0] for r in df.groupBy(F.col(query)).count().where(F.col("count") > task_rows).select(query).limit(1).collect()]
+    hot = df.groupBy(F.col(query).alias("q")).count().where((F.col("count") > task_rows) & F.col("q").isNotNull()).select("q", F.lit(True).alias("hot"))
     local = lambda key, g: _rank_groups(key[0], g, damping, rounds)
-    if not hot:
+    if hot.isEmpty():
         mass = long.groupBy("q").applyInPandas(local, schema)
     else:
-        sizes = long.groupBy("q").agg((F.count("*") > task_rows).alias("hot"))
-        tagged = long.join(sizes, "q")
+        tagged = long.join(hot, "q", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
         mass = tagged.where("not hot").drop("hot").groupBy("q").applyInPandas(local, schema).union(_rank_hot(tagged.where("hot").drop("hot"), damping, rounds, bucket).select(F.col("q").cast(kinds["q"]), "i", "mass"))
     # equal masses up to rounding of sums must tie
     mass = mass.withColumn("mass", F.round("mass", 10))
