@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -125,45 +126,71 @@ def mean_pool(df: DataFrame, group: str, vector: str, dim: int) -> DataFrame:
     return v.select(group, unit(F.col("v")).alias(vector))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", keep: list[str] | None = None) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", keep: list[str] | None = None, batch: int = 20_000) -> DataFrame:
     """(query_id, key, score) of the k nearest by cosine, for a stated set of queries, exact.
 
-    The queries are one matrix (their number is bounded by what a batch of questions is; it is checked), every partition
-    multiplies its vectors with it in blocks and keeps k per query, and the partitions' tops are merged.
+    Scores are rounded to nine places and ties go to the least key, within a partition as in the end. The queries are worked
+    through in batches of `batch`, each one matrix: every partition multiplies its vectors with it in blocks and keeps k per
+    query, and the partitions' tops are merged.
     """
-    q = queries.select("query_id", vector).limit(20_001).collect()
-    if len(q) > 20_000:
-        raise ValueError("more than 20,000 queries: send them in batches")
+    rows, parts = queries.select("query_id", vector).toLocalIterator(), []
+    while (q := list(islice(rows, batch))) or not parts:
+        parts.append(_knn_part(vectors, queries, q, k, key, vector))
+    return top_k(reduce(DataFrame.union, parts), k, key)
+
+
+def _nearest(scores: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k greatest scores of each row, of equal ones the first; NaN is the greatest, as in the engine's order."""
+    if scores.shape[1] <= k:
+        return np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
+    s = np.where(np.isnan(scores), np.inf, scores)
+    last = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+    above, equal = s > last, s == last
+    take = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(1, keepdims=True)))
+    return np.nonzero(take)[1].reshape(len(s), k)
+
+
+def _knn_part(vectors: DataFrame, queries: DataFrame, q: list, k: int, key: str, vector: str) -> DataFrame:
     ids = [r[0] for r in q]
-    m = np.array([r[1] for r in q], np.float64).reshape(len(q), -1)
+    m = np.array([r[1] for r in q], np.float64).reshape(len(q), -1) if q else np.empty((0, 0))
     m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
     held = vectors.sparkSession.sparkContext.broadcast((ids, m))
     id_type, q_type = dict(vectors.dtypes)[key], dict(queries.dtypes)["query_id"]
     id_arrow, q_arrow = to_arrow_type(vectors.schema[key].dataType), to_arrow_type(queries.schema["query_id"].dataType)
+    in_order = lambda x: (x is not None, x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, m = held.value
         best_s, best_k = np.empty((len(ids), 0)), np.empty((len(ids), 0), object)
-        for b in batches:
-            v = b.column(1)
-            ok = [x is not None and len(x) == m.shape[1] for x in v.to_pylist()] if len(ids) else []
-            if not any(ok):
-                continue
-            b = b.filter(pa.array(ok))
-            x = np.array(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            s = np.concatenate((best_s, m @ x.T), axis=1)
-            names = np.concatenate((best_k, np.broadcast_to(np.array(b.column(0).to_pylist(), object), (len(ids), b.num_rows))), axis=1)
-            if s.shape[1] > 4 * k:
-                top = np.argpartition(-s, k + 8 if s.shape[1] > k + 8 else k, axis=1)[:, : k + 8]
-                s, names = np.take_along_axis(s, top, 1), np.take_along_axis(names, top, 1)
-            best_s, best_k = s, names
+        step = max(k, 4_000_000 // max(len(ids), 1))
+        for whole in batches:
+            for b in (whole.slice(at, step) for at in range(0, whole.num_rows, step)):
+                v = b.column(1)
+                ok = [x is not None and len(x) == m.shape[1] for x in v.to_pylist()] if len(ids) else []
+                if not any(ok):
+                    continue
+                b = b.filter(pa.array(ok))
+                x = np.array(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                names = b.column(0).to_pylist()
+                order = sorted(range(len(names)), key=lambda i: in_order(names[i]))
+                s = np.round(m @ x[order].T, 9)
+                top = _nearest(s, k)
+                new = np.empty(len(names), object)
+                new[:] = [names[i] for i in order]
+                s, near = np.concatenate((best_s, np.take_along_axis(s, top, 1)), axis=1), np.concatenate((best_k, new[top]), axis=1)
+                at = {n: i for i, n in enumerate(sorted(set(near.ravel().tolist()), key=in_order))}
+                code = np.array([at[n] for n in near.ravel().tolist()]).reshape(near.shape)
+                by_key = np.argsort(code, axis=1, kind="stable")
+                s, near = np.take_along_axis(s, by_key, 1), np.take_along_axis(near, by_key, 1)
+                top = _nearest(s, k)
+                best_s, best_k = np.take_along_axis(s, top, 1), np.take_along_axis(near, top, 1)
         n = best_s.shape[1]
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([i for i in ids for _ in range(n)], q_arrow), pa.array(best_k.ravel().tolist(), id_arrow), pa.array(best_s.ravel())], names=["query_id", key, "score"])
 
     part = vectors.select(key, vector).mapInArrow(run, f"query_id {q_type}, {key} {id_type}, score double")
-    return top_k(part.withColumn("score", F.round("score", 9)), k, key)
+    return part.withColumn("score", F.round("score", 9))
 
 
 def top_k(hits: DataFrame, k: int, key: str) -> DataFrame:
