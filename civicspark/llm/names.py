@@ -53,7 +53,7 @@ KINDS: tuple[str, ...] = ("advisory board", "board", "subcommittee", "committee"
 INITIALS = {"tf": "taskforce", "wg": "working group", "ab": "advisory board"}
 
 JARO_WINKLER = 0.88
-#: Spellings of a block that are compared in one task; larger blocks are split by the initials of the other tokens.
+#: Spellings of a block that are compared in one task; of larger blocks, each part is compared with itself and every other.
 BLOCK_ROWS = 3000
 
 
@@ -283,33 +283,15 @@ SAME = {"person": same_person, "committee": same_committee}
 TIER = {"person": lambda x: 2 if not x.given else int(len(x.given) == 1), "committee": lambda x: int(max(map(len, x.topics)) < 5)}
 
 
-LETTERS = [*"abcdefghijklmnopqrstuvwxyz", "#"]
-
-
-def _initial(t: str) -> str:
-    return t[0] if "a" <= t[0] <= "z" else "#"
-
-
-def block_keys(kind: str, x: Person | Committee) -> dict[str, set[str]]:
-    """Codes that survive one slip, each with the keys that split its block if it is large.
-
-    Codes: the phonetic code, beginning and end of each longer token; three letters of committee words. A block is split by the
-    initials of the other tokens; a spelling without another token goes to every part. A slip in the other token's
-    initial is met in that token's own blocks.
-    """
-    tokens = x.tokens if kind == "person" else x.topics
-    keys: dict[str, set[str]] = {}
-    for i, t in enumerate(tokens):
-        others = {_initial(n) for k, o in enumerate(tokens) if k != i for n in (o, *full_names(o))} or set(LETTERS)
+def block_keys(kind: str, x: Person | Committee) -> set[str]:
+    """Codes that survive one slip: the phonetic code, beginning and end of each longer token; three letters of committee words."""
+    codes: set[str] = set()
+    for t in x.tokens if kind == "person" else x.topics:
         if kind == "committee":
-            codes = {t[:3], "~" + soundex(t)} if len(t) >= 5 else {t[:3]}
-        elif len(t) < 3:
-            continue
-        else:
-            codes = {c for n in {t, *full_names(t)} for c in (soundex(n), n[:4] + "-", "-" + n[-4:])}
-        for c in codes:
-            keys.setdefault(c, set()).update(others)
-    return keys
+            codes |= {t[:3], "~" + soundex(t)} if len(t) >= 5 else {t[:3]}
+        elif len(t) >= 3:
+            codes |= {c for n in {t, *full_names(t)} for c in (soundex(n), n[:4] + "-", "-" + n[-4:])}
+    return codes
 
 
 def spellings(df: DataFrame, tenant: str, name: str, kind: str) -> DataFrame:
@@ -323,32 +305,36 @@ def _blocks(names: DataFrame) -> DataFrame:
             for tenant, kind, name in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 x = READ[kind](name)
                 if x is not None:
-                    rows += [(tenant, kind, name, k, sorted(more)) for k, more in block_keys(kind, x).items()]
-            yield pa.RecordBatch.from_pylist([dict(zip(("tenant_id", "kind", "name", "code", "more"), r, strict=True)) for r in rows], schema=pa.schema([("tenant_id", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("code", pa.string()), ("more", pa.list_(pa.string()))]))
+                    rows += [(tenant, kind, name, k) for k in sorted(block_keys(kind, x))]
+            yield pa.RecordBatch.from_pylist([dict(zip(("tenant_id", "kind", "name", "code"), r, strict=True)) for r in rows], schema=pa.schema([("tenant_id", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("code", pa.string())]))
 
-    return names.mapInArrow(run, "tenant_id string, kind string, name string, code string, more array<string>")
+    return names.mapInArrow(run, "tenant_id string, kind string, name string, code string")
 
 
 def accepted_pairs(names: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(tenant_id, kind, a, b, tier) of spellings that agree, from all blocks, once each.
 
-    A null tier: both mean one entity. Otherwise a is a short form that fits b, and tier is how short b is (0: full).
+    A block of more than block_rows spellings is split into parts, and each part is compared with itself and with every
+    other. A null tier: both mean one entity. Otherwise a is a short form that fits b, and tier is how short b is (0: full).
     """
     rows = cut(_blocks(names))
-    sizes = rows.groupBy("tenant_id", "kind", "code").count().where(F.col("count") > block_rows).drop("count")
-    rows = rows.join(sizes.withColumn("big", F.lit(True)), ["tenant_id", "kind", "code"], "left")
-    fine = F.explode(F.when(F.col("big"), F.col("more")).otherwise(F.array(F.lit(""))))
-    rows = rows.withColumn("fine", fine).select(F.xxhash64("tenant_id", "kind", "code", "fine").alias("block"), "tenant_id", "kind", "name")
+    sizes = rows.groupBy("tenant_id", "kind", "code").count().where(F.col("count") > block_rows)
+    sizes = sizes.select("tenant_id", "kind", "code", F.ceil(F.col("count") / block_rows).alias("parts"))
+    rows = rows.join(sizes, ["tenant_id", "kind", "code"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("name"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    cell = F.xxhash64("tenant_id", "kind", "code", F.least("part", "other"), F.greatest("part", "other"))
+    rows = rows.select(cell.alias("block"), "tenant_id", "kind", "code", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read: dict = {}
         schema = pa.schema([(k, pa.string()) for k in ("tenant_id", "kind", "a", "b")] + [("tier", pa.int32())])
         for r in key_runs(batches):
             got, by = [], defaultdict(list)
-            for tenant, kind, name in zip(*(c.to_pylist() for c in r.columns[1:]), strict=True):
-                by[tenant, kind].append(name)
-            for (tenant, kind), block in by.items():
-                block = sorted(set(block))
+            for tenant, kind, code, low, high, part, name in zip(*(c.to_pylist() for c in r.columns[1:]), strict=True):
+                by[tenant, kind, code, low, high].append((name, part))
+            for (tenant, kind, _, low, high), parted in by.items():
+                part = dict(parted)
+                block = sorted(part)
                 if len(read) > 200_000:
                     read.clear()
                 for n in block:
@@ -356,6 +342,8 @@ def accepted_pairs(names: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
                         read[kind, n] = READ[kind](n)
                 for i, a in enumerate(block):
                     for b in block[i + 1 :]:
+                        if low != high and part[a] == part[b]:
+                            continue  # met in their own part
                         how = SAME[kind](read[kind, a], read[kind, b])
                         tiers = TIER[kind](read[kind, a]), TIER[kind](read[kind, b])
                         if how == "weak" and tiers[0] != tiers[1]:
