@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,8 @@ from civicspark.session import cut
 
 DAMPING = 0.95
 ROUNDS = 60
+#: Relative change of a mass at which the iteration ends, and the significant digits in which masses are compared.
+TOLERANCE, DIGITS = 1e-13, 10
 #: Rows of one query that one task may hold; larger queries are ranked by distributed prefix sums.
 TASK_ROWS = 500_000
 #: Width of a rank bucket of the distributed prefix sums.
@@ -42,8 +44,11 @@ def legs_long(df: DataFrame, query: str, item: str, ranks: str, scores: str) ->
     return long.where("rank is not null or score is not null")
 
 
-def walk(above: np.ndarray, damping: float = DAMPING, rounds: int = ROUNDS, tol: float = 1e-13) -> np.ndarray:
-    """Stationary mass; above[item, leg] is the number of items that the leg ranks strictly higher."""
+def walk(above: np.ndarray, damping: float = DAMPING, rounds: int = ROUNDS, tol: float = TOLERANCE) -> np.ndarray:
+    """Stationary mass; above[item, leg] is the number of items that the leg ranks strictly higher.
+
+    Ends when no mass changes by more than tol of itself, whatever the number of items.
+    """
     n, legs = above.shape
     orders = [np.argsort(above[:, k], kind="stable") for k in range(legs)]
     ends = [np.searchsorted(above[o, k], above[o, k], side="right") for k, o in enumerate(orders)]
@@ -57,7 +62,7 @@ def walk(above: np.ndarray, damping: float = DAMPING, rounds: int = ROUNDS, tol:
             new[o] += below[end] / legs
         new /= rate
         new /= new.sum()
-        done = np.abs(new - p).max() < tol
+        done = np.abs(new - p).max() == 0 or (np.abs(new - p) / new).max() < tol
         p = new
         if done:
             break
@@ -87,9 +92,33 @@ def _places(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return items, out
 
 
+def significant(mass: np.ndarray) -> np.ndarray:
+    """Masses to DIGITS significant digits, so that sums taken in another order tie, however small the masses are."""
+    unit = 10.0 ** (np.floor(np.log10(mass)) - DIGITS + 1)
+    return np.round(mass / unit) * unit
+
+
+def _significant(mass: Column) -> Column:
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(mass)) - DIGITS + 1)
+    return F.rint(mass / unit) * unit
+
+
 def _rank_groups(q: object, g: pd.DataFrame, damping: float, rounds: int) -> pd.DataFrame:
     items, places = _places(g)
-    return pd.DataFrame({"q": q, "i": items, "mass": walk(places, damping, rounds)})
+    mass = significant(walk(places, damping, rounds))
+    position = np.empty(len(items), np.int64)
+    position[np.argsort(-mass, kind="stable")] = np.arange(1, len(items) + 1)  # items are in order already
+    return pd.DataFrame({"q": q, "i": items, "mass": mass, "position": position})
+
+
+def _positions(mass: DataFrame) -> DataFrame:
+    """(q, i, mass, position) without a query in one task: slices of the order are numbered, each from where the ones before end."""
+    up = Window.unboundedPreceding
+    d = cut(mass.withColumn("mass", _significant(F.col("mass"))).repartitionByRange("q", F.desc("mass"), "i").withColumn("z", F.spark_partition_id()))
+    per = d.groupBy("q", "z").agg(F.count("*").alias("c"))
+    per = per.select("q", "z", F.coalesce(F.sum("c").over(Window.partitionBy("q").orderBy("z").rowsBetween(up, -1)), F.lit(0)).alias("before"))
+    at = F.row_number().over(Window.partitionBy("q", "z").orderBy(F.desc("mass"), "i"))
+    return d.withColumn("at", at).join(per, ["q", "z"]).select("q", "i", "mass", (F.col("at") + F.col("before")).cast("int").alias("position"))
 
 
 def _keys_hot(long: DataFrame) -> DataFrame:
@@ -155,7 +184,7 @@ def _rank_hot(long: DataFrame, damping: float, rounds: int, bucket: int) -> Data
     rate = seen.join(full, ["q", "leg"]).groupBy("q", "i").agg(F.sum(F.col("above") - F.col("m")).alias("a")).join(size, "q")
     rate = cut(rate.select("q", "i", "n", "legs", ((F.col("a") + F.col("held")) / F.col("legs") + odds * F.col("n")).alias("rate")))
     p = rate.select("q", "i", (1 / F.col("n")).alias("p"))
-    for _ in range(rounds):
+    for k in range(1, rounds + 1):
         flow = seen.join(p, ["q", "i"]).groupBy("q", "leg", "b", "rank").agg(F.sum("p").alias("m"))
         total = flow.groupBy("q", "leg", "b").agg(F.sum("m").alias("mb"))
         total = total.withColumn("after", F.coalesce(F.sum("mb").over(leg.orderBy(F.desc("b")).rowsBetween(up, down)), F.lit(0.0)))
@@ -165,7 +194,11 @@ def _rank_hot(long: DataFrame, damping: float, rounds: int, bucket: int) -> Data
         got = seen.join(below, ["q", "leg", "b", "rank"]).groupBy("q", "i").agg(F.sum("w").alias("w"))
         new = cut(got.join(rate, ["q", "i"]).select("q", "i", ((F.col("w") / F.col("legs") + odds) / F.col("rate")).alias("x")))
         norm = new.groupBy("q").agg(F.sum("x").alias("all"))
-        p = new.join(norm, "q").select("q", "i", (F.col("x") / F.col("all")).alias("p"))
+        before, p = p, new.join(norm, "q").select("q", "i", (F.col("x") / F.col("all")).alias("p"))
+        if k % 10 == 0:
+            moved = before.join(p.withColumnRenamed("p", "new"), ["q", "i"]).agg(F.max(F.abs(1 - F.col("p") / F.col("new")))).first()[0]
+            if moved is None or moved < TOLERANCE:
+                break
     return p.select("q", "i", F.col("p").alias("mass"))
 
 
@@ -173,19 +206,18 @@ def combined_ranking(df: DataFrame, query: str = "query_id", item: str = "chunk_
     """(query, item, mass, position): positions from 1 in order of mass, ties by item.
 
     Rows with a null query or item, and items that no leg places, have no row. Repeated rows count once. An empty table
-    gives an empty result. Queries of more than task_rows rows take the distributed path (the same walk).
+    gives an empty result. Queries of more than task_rows rows take the distributed path: the same placement, walk and order.
+    Masses are given to ten significant digits, and equal ones tie.
     """
     long = legs_long(df, query, item, ranks, scores)
     kinds = dict(long.dtypes)
-    schema = T.StructType([T.StructField("q", long.schema["q"].dataType), T.StructField("i", long.schema["i"].dataType), T.StructField("mass", T.DoubleType())])
+    schema = T.StructType([T.StructField("q", long.schema["q"].dataType), T.StructField("i", long.schema["i"].dataType), T.StructField("mass", T.DoubleType()), T.StructField("position", T.IntegerType())])
     hot = df.groupBy(F.col(query).alias("q")).count().where((F.col("count") > task_rows) & F.col("q").isNotNull()).select("q", F.lit(True).alias("hot"))
     local = lambda key, g: _rank_groups(key[0], g, damping, rounds)
     if hot.isEmpty():
-        mass = long.groupBy("q").applyInPandas(local, schema)
+        out = long.groupBy("q").applyInPandas(local, schema)
     else:
         tagged = long.join(hot, "q", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-        mass = tagged.where("not hot").drop("hot").groupBy("q").applyInPandas(local, schema).union(_rank_hot(tagged.where("hot").drop("hot"), damping, rounds, bucket).select(F.col("q").cast(kinds["q"]), "i", "mass"))
-    # equal masses up to rounding of sums must tie
-    mass = mass.withColumn("mass", F.round("mass", 10))
-    pos = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("mass"), "i"))
-    return mass.select(F.col("q").alias(query), F.col("i").alias(item), "mass", pos.alias("position"))
+        large = _positions(_rank_hot(tagged.where("hot").drop("hot"), damping, rounds, bucket)).withColumn("q", F.col("q").cast(kinds["q"]))
+        out = tagged.where("not hot").drop("hot").groupBy("q").applyInPandas(local, schema).union(large)
+    return out.select(F.col("q").alias(query), F.col("i").alias(item), "mass", "position")
