@@ -3,17 +3,20 @@
 1. Words (case and layout left out) give runs of three; a text's sketch is one bit of each of 64 minima under random
    orders of its runs, so that the Hamming distance of two sketches is about 32 * (1 - Jaccard similarity).
 2. BK-trees over the sketches (children keyed by the distance to their parent) return all sketches within a radius. The
-   radius that a similarity of one half needs (22 of 64) is close to the distance of unrelated texts (32), where a tree
+   radius that a similarity of one half needs (24 of 64) is close to the distance of unrelated texts (32), where a tree
    over all sketches prunes next to nothing and could not be broadcast either; so the trees are sharded: texts go
-   to the shards of 32 bands of four minima each, and a tree holds one shard. See the README.
+   to the shards of 48 bands of four minima each, and a tree holds one shard. See the README.
 3. Each tree gives the nearest link to every other group of its shard, never all pairs; links of all shards are checked by
    exact Jaccard similarity of the runs of three, and connected components of the confirmed links are the groups.
 4. A link that the check rejects may have kept a true one back, so shards that gave one are searched again: there each
    text gives its nearest hits outside its confirmed group, eight first, then 64, then all, until none is left out.
+5. A shard beyond SHARD_ROWS is split into parts of about that size, each with its own tree. First every part is searched by
+   itself and the first part by all others, which joins the copies of one text. Then only texts outside the shard's largest
+   confirmed group ask all trees, in chunks of about SHARD_ROWS, as in step 4. Work thus grows with the rows of a shard
+   that copies have filled, and with the texts outside times the rows of the shard at worst.
 
 Copies that are equal but for case and layout are one node from the start, so a group of copies with a third of all rows
-is pre-aggregated. Shards beyond SHARD_ROWS are split: each part has its own tree, and the texts of the other parts
-of the shard are its queries.
+is pre-aggregated.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicspark.llm.runs import key_runs
@@ -33,10 +36,11 @@ from civicspark.session import cut
 
 WORDS = 3
 THRESHOLD = 0.5
-BANDS, ROWS = 32, 4
-RADIUS = 22
-#: Rows of a shard that one tree holds; larger shards are split (found by counting one node in SAMPLE_NODES).
+BANDS, ROWS = 48, 4
+RADIUS = 24
+#: Rows of a shard that one tree holds; larger shards are split, and a task gets one tree and as many queries at a time.
 SHARD_ROWS = 4096
+#: Shards are sized by counting one node in SAMPLE_NODES; this decides only how they are split.
 SAMPLE_NODES = 128
 #: Rows of a key set up to which it is broadcast.
 BROADCAST_ROWS = 500_000
@@ -145,8 +149,12 @@ class BKTree:
         return out
 
 
-def shard_links(nodes: list[int], sketches: list[int], member: list[bool], radius: int = RADIUS) -> list[tuple[int, int]]:
-    """The nearest link from each text to every group of the shard that it is not yet joined with."""
+#: What a text does in a shard's task: both, stand in the tree only, or ask only.
+BOTH, HELD, ASKING = 0, 1, 2
+
+
+def shard_links(nodes: list[int], sketches: list[int], roles: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
+    """The nearest link from each asking text to every group of the shard that it is not yet joined with."""
     tree, order, root = BKTree(), [], {}
 
     def find(x: int) -> int:
@@ -155,32 +163,33 @@ def shard_links(nodes: list[int], sketches: list[int], member: list[bool], radiu
         return x
 
     out = []
-    for inside in (True, False):
-        for n, s, m in zip(nodes, sketches, member, strict=True):
-            if m is not inside:
+    for asking in (False, True):
+        for n, s, role in zip(nodes, sketches, roles, strict=True):
+            if (role == ASKING) is not asking:
                 continue
-            for _, k in sorted(tree.within(s, radius)):
+            for _, k in sorted(tree.within(s, radius)) if role != HELD else ():
                 a, b = find(n), find(order[k])
                 if a != b:
                     root[a] = b
                     out.append((n, order[k]))
-            if inside:
+            if role != ASKING:
                 tree.add(s)
                 order.append(n)
     return out
 
 
-def open_hits(nodes: list[int], sketches: list[int], member: list[bool], groups: list[int], most: int | None, radius: int = RADIUS) -> tuple[list[tuple[int, int]], bool]:
-    """The `most` nearest hits (None: all) from each text to texts of other groups, and whether any were left out."""
+def open_hits(nodes: list[int], sketches: list[int], roles: list[int], groups: list[int], most: int | None, radius: int = RADIUS) -> tuple[list[tuple[int, int]], bool]:
+    """The `most` nearest hits (None: all) from each asking text to texts of other groups, and whether any were left out."""
     tree, at, out, left_out = BKTree(), [], [], False
-    for inside in (True, False):
-        for i, m in enumerate(member):
-            if m is not inside:
+    for asking in (False, True):
+        for i, role in enumerate(roles):
+            if (role == ASKING) is not asking:
                 continue
-            hits = [at[k] for _, k in sorted(tree.within(sketches[i], radius)) if groups[at[k]] != groups[i]]
-            left_out |= most is not None and len(hits) > most
-            out += [(nodes[i], nodes[k]) for k in hits[:most]]
-            if inside:
+            if role != HELD:
+                hits = [at[k] for _, k in sorted(tree.within(sketches[i], radius)) if groups[at[k]] != groups[i]]
+                left_out |= most is not None and len(hits) > most
+                out += [(nodes[i], nodes[k]) for k in hits[:most]]
+            if role != ASKING:
                 tree.add(sketches[i])
                 at.append(i)
     return out, left_out
@@ -215,39 +224,67 @@ def _hinted(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def candidate_links(reps: DataFrame, shard_rows: int = SHARD_ROWS, radius: int = RADIUS, sample: int = SAMPLE_NODES, again: DataFrame | None = None, most: int | None = None) -> DataFrame:
-    """(a, b) with a < b, from the trees of all shards; reps has node, sketch and bands once per node.
+def hot_shards(reps: DataFrame, shard_rows: int = SHARD_ROWS, sample: int = SAMPLE_NODES) -> DataFrame:
+    """(band, parts) of the shards of more than shard_rows texts, sized by one node in `sample`."""
+    some = reps.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(sample)) == 0)
+    size = some.select(F.explode("bands").alias("band")).groupBy("band").count().where(F.col("count") * sample > shard_rows)
+    return size.select("band", F.ceil(F.col("count") * sample / shard_rows).cast("int").alias("parts"))
 
-    again: bands to search once more for the `most` nearest hits of each text outside its group (reps then has grp); a row
-    with a null b says that hits were left out.
-    """
-    rows = reps.select(F.explode("bands").alias("band"), "node", "sketch", F.lit(0).cast("bigint").alias("grp") if again is None else "grp")
-    if again is not None:
-        rows = rows.join(_hinted(again), "band", "left_semi")
-    hot = rows.where(F.pmod(F.xxhash64("node"), F.lit(sample)) == 0).groupBy("band").count().where(F.col("count") * sample > shard_rows)
-    hot = cut(hot.select("band", F.ceil(F.col("count") * sample / shard_rows).cast("int").alias("parts")))
-    rows = rows.withColumn("member", F.lit(True))
-    n_hot = hot.count()
-    if n_hot:
-        split = rows.join(F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, "band", "left")
-        part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
-        split = split.withColumn("part", part).withColumn("to", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("part"))))
-        rows = split.select(F.when(F.col("parts").isNull(), F.col("band")).otherwise(F.xxhash64("band", "to")).alias("band"), "node", "sketch", "grp", (F.col("to") == F.col("part")).alias("member"))
 
+def _part(of: str = "parts") -> Column:
+    return F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+
+
+def _cells(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """First search of split shards: each part by itself, and the first part's tree with each other part's queries."""
+    split = rows.join(hot, "band").withColumn("part", _part())
+    own = split.select(F.xxhash64("band", "part", "part").alias("cell"), "node", "sketch", "grp", F.lit(BOTH).alias("role"))
+    asking = split.where("part > 0").select(F.xxhash64("band", F.lit(0), "part").alias("cell"), "node", "sketch", "grp", F.lit(ASKING).alias("role"))
+    held = split.where("part = 0").withColumn("to", F.explode(F.sequence(F.lit(1), F.col("parts") - 1)))
+    return own.union(asking).union(held.select(F.xxhash64("band", F.lit(0), "to").alias("cell"), "node", "sketch", "grp", F.lit(HELD).alias("role")))
+
+
+def _outside(rows: DataFrame, hot: DataFrame, shard_rows: int) -> DataFrame:
+    """Later searches of split shards: texts outside a shard's largest group, in chunks, ask the trees of all parts."""
+    split = rows.join(hot, "band")
+    sizes = cut(split.groupBy("band", "grp").agg(F.count("*").alias("n")))
+    total = sizes.groupBy("band").agg(F.max_by("grp", F.struct("n", "grp")).alias("most"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
+    total = total.select("band", "most", F.ceil(F.col("rest") / shard_rows).cast("int").alias("chunks"))
+    split = split.join(total, "band").withColumn("part", _part())
+    held = split.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    held = held.select(F.xxhash64("band", "part", "chunk").alias("cell"), "node", "sketch", "grp", F.lit(HELD).alias("role"))
+    asking = split.where("grp <> most").withColumn("chunk", _part("chunks")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return held.union(asking.select(F.xxhash64("band", "to", "chunk").alias("cell"), "node", "sketch", "grp", F.lit(ASKING).alias("role")))
+
+
+def candidate_links(reps: DataFrame, hot: DataFrame, shard_rows: int = SHARD_ROWS, radius: int = RADIUS, again: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """(a, b) with a < b, from the trees of all shards; reps has node, sketch and bands once per node, hot is of hot_shards.
+
+    again: small shards to search once more, beside the split ones, for the `most` nearest hits of each text outside its
+    group (reps then has grp); a row with a null b says that hits were left out.
+    """
     first = again is None
+    rows = reps.select(F.explode("bands").alias("band"), "node", "sketch", F.lit(0).cast("bigint").alias("grp") if first else "grp")
+    small = rows if first else rows.join(_hinted(again), "band", "left_semi")
+    if not hot.isEmpty():
+        small = small.join(_hinted(hot), "band", "left_anti")
+        split = _cells(rows, _hinted(hot)) if first else _outside(rows, _hinted(hot), shard_rows)
+        rows = small.select(F.col("band").alias("cell"), "node", "sketch", "grp", F.lit(BOTH).alias("role")).union(split)
+    else:
+        rows = small.select(F.col("band").alias("cell"), "node", "sketch", "grp", F.lit(BOTH).alias("role"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         left_out = False
         for r in key_runs(batches):
-            _, nodes, sketches, groups, member = (c.to_pylist() for c in r.columns)
+            _, nodes, sketches, groups, roles = (c.to_pylist() for c in r.columns)
             sketches = [s & 0xFFFFFFFFFFFFFFFF for s in sketches]
             if not first:
-                hits, more = open_hits(nodes, sketches, member, groups, most, radius)
+                hits, more = open_hits(nodes, sketches, roles, groups, most, radius)
                 out += hits
                 left_out |= more
             else:
-                out += shard_links(nodes, sketches, member, radius)
+                out += shard_links(nodes, sketches, roles, radius)
             if len(out) > 50_000:
                 yield _pairs(out)
                 out = []
@@ -255,7 +292,7 @@ def candidate_links(reps: DataFrame, shard_rows: int = SHARD_ROWS, radius: int =
         if left_out:
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([None], pa.int64())], names=["a", "b"])
 
-    return rows.repartition("band").sortWithinPartitions("band", "node").mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.repartition(F.col("cell")).sortWithinPartitions("cell", "node").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -286,12 +323,12 @@ def _checked(links: DataFrame, members: DataFrame, texts: DataFrame, threshold:
 
 
 def edited_copies(tables: dict[str, tuple[DataFrame, str, str]], threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, radius: int = RADIUS, sample: int = SAMPLE_NODES) -> DataFrame:
-    """(table_name, id, group_id, links): a row for every id with a text of a word or more.
+    """(table_name, id, group_id, n_texts): a row for every id with a text of a word or more.
 
     tables: name to (table, id column, text column). Texts are in one group when a chain of pairs joins them, each equal but
     for case and layout or with more than `threshold` of the runs of three words in either text in common. group_id
-    is one number per group of the table; links counts the confirmed links of the text's node (0 for a text on its own or
-    with equal copies only). Null ids and null, empty and wordless texts have no row; rows repeated for an id count
+    is one number per group of the table; n_texts counts the group's different texts (1 for a text on its own or with
+    equal copies only). Null ids and null, empty and wordless texts have no row; rows repeated for an id count
     once; texts of fewer than three words are one run. Tables are never compared with each other.
     """
     prints, texts = None, None
@@ -303,17 +340,19 @@ def edited_copies(tables: dict[str, tuple[DataFrame, str, str]], threshold: floa
     prints = cut(prints)
     members = prints.select("table_name", "id", "node").distinct()
     reps = prints.select("node", "sketch", "bands").dropDuplicates(["node"])
-    links = cut(candidate_links(reps, shard_rows, radius, sample))
+    hot = cut(hot_shards(reps, shard_rows, sample))
+    links = cut(candidate_links(reps, hot, shard_rows, radius))
     checked = _checked(links, members, texts, threshold)
     groups = connected_components(checked.where("ok"))
+    split = not hot.isEmpty()
     false = checked.where("not ok")
     for most in AGAIN:
-        if false.isEmpty():
+        if not split and false.isEmpty():
             break
         bands = reps.select("node", "bands")
         shared = false.join(bands.toDF("a", "x"), "a").join(bands.toDF("b", "y"), "b").select(F.explode(F.array_intersect("x", "y")).alias("band")).distinct()
         grouped = reps.join(groups, "node", "left").select("node", "sketch", "bands", F.coalesce("component", "node").alias("grp"))
-        found = cut(candidate_links(grouped, shard_rows, radius, sample, shared, most))
+        found = cut(candidate_links(grouped, hot, shard_rows, radius, shared, most))
         done = found.where("b is null").isEmpty()
         new = cut(found.where("b is not null").join(checked.select("a", "b"), ["a", "b"], "left_anti"))
         if not new.isEmpty():
@@ -322,11 +361,10 @@ def edited_copies(tables: dict[str, tuple[DataFrame, str, str]], threshold: floa
         if done:
             break
         false = checked.where("not ok")
-    sure = checked.where("ok").select("a", "b")
-    groups = groups.withColumnRenamed("component", "group_id")
-    degree = sure.select(F.col("a").alias("node")).union(sure.select("b")).groupBy("node").agg(F.count("*").alias("links"))
-    out = members.join(groups.join(degree, "node"), "node", "left")
-    return out.select("table_name", "id", F.coalesce("group_id", "node").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    groups = cut(groups.withColumnRenamed("component", "group_id"))
+    sizes = groups.groupBy("group_id").agg(F.count("*").alias("n_texts"))
+    out = members.join(groups.join(sizes, "group_id"), "node", "left")
+    return out.select("table_name", "id", F.coalesce("group_id", "node").alias("group_id"), F.coalesce("n_texts", F.lit(1).cast("bigint")).alias("n_texts"))
 
 
 def group_pairs(groups: DataFrame) -> DataFrame:

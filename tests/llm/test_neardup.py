@@ -58,7 +58,7 @@ def test_groups_against_brute_force(spark):
 def test_odd_rows(spark):
     rows = [("a", None, None, None), ("b", "", None, None), ("c", " \n", None, None), ("d", "!!!", None, None), (None, "one two three", None, None), ("e", "one two three", None, None), ("e", "one two three", None, None), ("f", "One  two, three.", None, None)]
     got = run(spark, rows).collect()
-    assert sorted(r.id for r in got) == ["e", "f"] and len({r.group_id for r in got}) == 1 and all(r.links == 0 for r in got)
+    assert sorted(r.id for r in got) == ["e", "f"] and len({r.group_id for r in got}) == 1 and all(r.n_texts == 1 for r in got)
     assert [(r.id_a, r.id_b) for r in neardup.group_pairs(run(spark, rows)).collect()] == [("e", "f")]
     assert run(spark, []).count() == 0
 
