@@ -20,8 +20,10 @@ from civicspark.session import cut
 
 MIN_DOCS = 5
 MIN_SHARE = 0.2
-#: Rows of a candidate or confirmed set up to which it is broadcast (a row is two longs); larger sets are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Candidate or confirmed lines up to which their set is broadcast (a line is two longs at most); larger sets are joined by shuffle.
+BROADCAST_LINES = 1_000_000
+#: Counters that a task holds over all its sources; beyond it their summaries are handed on and begun anew (they merge by addition).
+TASK_COUNTERS = 2_000_000
 
 
 def line_keys(text: Column) -> Column:
@@ -56,14 +58,10 @@ class Summary:
             self.counts = {k: v - cutoff for k, v in c.items() if v > cutoff}
 
 
-def _candidates(keys: DataFrame, min_docs: int, min_share: float) -> DataFrame:
+def _candidates(keys: DataFrame, min_docs: int, min_share: float, most: int = TASK_COUNTERS) -> DataFrame:
     schema = pa.schema([(c, pa.int64()) for c in ("source", "line", "n", "loss", "docs")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Summary] = {}
-        for b in batches:
-            for s, lines in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held.setdefault(s, Summary()).add(lines, min_share)
+    def flat(held: dict[int, Summary]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for s, h in held.items():
             rows.append((s, None, 0, h.loss, h.docs))
@@ -74,6 +72,20 @@ def _candidates(keys: DataFrame, min_docs: int, min_share: float) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, Summary] = {}
+        size = 0
+        for b in batches:
+            for s, lines in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                h = held.setdefault(s, Summary())
+                before = len(h.counts)
+                h.add(lines, min_share)
+                size += len(h.counts) - before + 1
+                if size > most:
+                    yield from flat(held)
+                    held, size = {}, 0
+        yield from flat(held)
+
     lines = keys.select("source", F.array_compact(F.array_distinct("keys")).alias("lines"))
     part = lines.mapInArrow(run, "source bigint, line bigint, n bigint, loss bigint, docs bigint")
     merged = cut(part.groupBy("source", "line").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"), F.sum("docs").alias("docs")))
@@ -84,8 +96,10 @@ def _candidates(keys: DataFrame, min_docs: int, min_share: float) -> DataFrame:
 
 
 def _small(df: DataFrame) -> DataFrame:
+    """df, broadcast if it has few lines: rows, or elements where a row holds an array `cut` of them."""
     df = cut(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    size = F.sum(F.size("cut") + F.lit(1)) if "cut" in df.columns else F.count("*")
+    return F.broadcast(df) if (df.agg(size).first()[0] or 0) <= BROADCAST_LINES else df
 
 
 def repeated_lines(docs: DataFrame, sources: list[str], doc_id: str = "id", text: str = "content_text", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> tuple[DataFrame, DataFrame]:

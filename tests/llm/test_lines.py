@@ -86,3 +86,13 @@ def test_query_against_sql(spark):
     c = duckdb.connect()
     c.execute(f"create view document_records as select * from '{d}/document_records.parquet'")
     assert {tuple(r) for r in queries.p4_found(spark, d).collect()} == set(c.execute(queries.SQL["p4_found"]).fetchall())
+
+
+def test_summaries_that_are_handed_on_early_find_the_same(spark, monkeypatch):
+    rows = [(f"d{k}", f"s{k % 3}", "\n".join(["Legal notice", f"own line {chr(97 + k)}", "Share this"][: 2 + k % 2])) for k in range(24)]
+    df = spark.createDataFrame(rows, "id string, src string, content_text string")
+    want = sorted(map(tuple, lines.found_lines(df, ["src"]).collect()))
+    plain = lines._candidates
+    monkeypatch.setattr(lines, "_candidates", lambda keys, docs, share: plain(keys, docs, share, 2))
+    monkeypatch.setattr(lines, "BROADCAST_LINES", 1)
+    assert sorted(map(tuple, lines.found_lines(df, ["src"]).collect())) == want and want
