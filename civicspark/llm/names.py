@@ -354,7 +354,9 @@ def accepted_pairs(names: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
             if got:
                 yield pa.RecordBatch.from_pylist(got, schema=schema)
 
-    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "tenant_id string, kind string, a string, b string, tier int").distinct()
+    # a stated number: by bytes alone the engine would fold the blocks, whose work is in comparisons, into one task
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "block").sortWithinPartitions("block").mapInArrow(run, "tenant_id string, kind string, a string, b string, tier int").distinct()
 
 
 def linked_names(names: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
