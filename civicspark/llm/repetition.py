@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 RUN = 4
 #: A repeated stretch must hold so many characters, so that set phrases are not counted.
 STRETCH = 18
-#: Texts of the sample on which cost and selectivity of the rules are estimated.
-SAMPLE = 256
+#: Texts of the sample on which cost and selectivity of the rules are estimated, and the most characters that one may have.
+SAMPLE, SAMPLE_CHARS = 256, 20_000
 
 _UNIT = re.compile(r"[぀-ヿ㐀-鿿]|[^\W\d_぀-ヿ㐀-鿿]+|\d+(?:[.,:/-]\d+)*")
 _COUNTER = re.compile(r"\d[\d.,:/-]*")
@@ -108,14 +108,15 @@ def repetition(df: DataFrame, text: str = "text", threshold: float = 0.3, sample
 
     Texts settled by a bound have a null repeated_share, the bound and the rule's name; all others have the exact
     share. Null, empty and wordless texts have the share 0 (decided_by 'empty'). Any length is read whole.
-    Clashing column names are refused. `order` fixes the rules instead of the sample.
+    Clashing column names are refused. `order` fixes the rules instead of the sample (SAMPLE texts of SAMPLE_CHARS at most,
+    fit for nothing but the order, which by its timing may differ from run to run, and decided_by and share_bound with it).
     """
     new = ["repeated_share", "share_bound", "decided_by", "repetitive"]
     keep = [c for c in df.columns if c != text]
     if clash := set(new) & set(keep):
         raise ValueError(f"columns exist already: {sorted(clash)}")
     if order is None:
-        some = [units(r[0]) for r in df.select(text).where(f"`{text}` is not null").limit(sample).collect()]
+        some = [units(r[0]) for r in df.select(text).where(f"length(`{text}`) <= {SAMPLE_CHARS}").limit(sample).collect()]
         order = plan_rules(some, threshold)
     rules = [(n, RULES[n]) for n in order]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("repeated_share", T.DoubleType()), T.StructField("share_bound", T.DoubleType()), T.StructField("decided_by", T.StringType()), T.StructField("repetitive", T.BooleanType())])

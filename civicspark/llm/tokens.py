@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 #: Fixed value: the public pattern that cuts texts into pieces for the 50k byte-level vocabularies.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-#: Distinct pieces that a worker keeps; beyond it the memory starts anew (ids do not depend on it).
+#: Distinct pieces, and pairs of tokens, that a worker keeps; beyond it the memory starts anew (ids do not depend on it).
 MEMORY = 400_000
 
 
@@ -54,6 +54,8 @@ class Encoder:
         """Whether token b may follow token a: their joined bytes encode to just these two."""
         known = self._apart.get((a, b))
         if known is None:
+            if len(self._apart) >= MEMORY:
+                self._apart.clear()
             known = self._apart[a, b] = self._merge(self.bytes[a] + self.bytes[b]) == [a, b]
         return known
 
