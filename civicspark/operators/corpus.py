@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NATIVE_PAGES_PER_MIN, SCANNED_PAGES_PER_MIN = 200.0, 3.0
@@ -28,3 +28,18 @@ def ocr_scenarios(docs: DataFrame) -> DataFrame:
     """(scenario, minutes): the estimate and its 0.8 and 1.5 fold."""
     total = docs.agg(F.sum("ocr_minutes").alias("m"))
     return total.select(F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), (F.col("m") * f).alias("minutes")) for n, f in (("low", 0.8), ("expected", 1.0), ("high", 1.5))])).alias("x")).select("x.*")
+
+
+def service_stats(df: DataFrame, source: str, millis: str) -> DataFrame:
+    """(source, n, mean_ms): calls and mean latency by source; calls without a time count but have no part in the mean."""
+    return df.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n"), F.avg(millis).alias("mean_ms"))
+
+
+def throughput(done: DataFrame, at: str, left: int | Column, minutes: float | None = None) -> DataFrame:
+    """(n, per_minute, eta_minutes) of a run: what is done over the time from its first to its last `at`, and how long the rest will take.
+
+    `minutes` gives the elapsed time instead. Null where no time has passed.
+    """
+    elapsed = F.lit(minutes) if minutes is not None else (F.unix_micros(F.max(F.col(at).cast("timestamp"))) - F.unix_micros(F.min(F.col(at).cast("timestamp")))) / 60e6
+    g = done.agg(F.count("*").alias("n"), F.try_divide(F.count("*"), elapsed).alias("per_minute"))
+    return g.withColumn("eta_minutes", F.try_divide(left if isinstance(left, Column) else F.lit(left), F.col("per_minute")))

@@ -128,19 +128,26 @@ def degrees(edges: DataFrame, a: str, b: str, n: str) -> DataFrame:
     return g.join(total).select("speaker", "out_degree", "in_degree", "degree", F.coalesce(F.try_divide("degree", "t"), F.lit(0.0)).alias("share"))
 
 
+#: Letters by which a part is found in a longer text.
+PART = 3
+
+
 def canonical(labels: DataFrame, roster: DataFrame, label: str = "label") -> DataFrame:
-    """(label, name): the first roster name (by pos) that equals the label, shares a token, or is part of it or it of the name.
+    """(label, name): the first roster name (by pos) that equals the label, has it as a word, or is part of it or it of the name.
 
-    Labels and roster are matched on distinct tokens first; only what no token matches is tested for parts, against the
-    roster, which is small by nature (its size is left to the optimiser's check).
+    All of these mean that one contains the other, in lower case and trimmed; a shared word alone does not link. A label without
+    such a name, or a blank one, stays as it is. Whoever is contained has its first PART letters somewhere in the other,
+    so both directions are equi-joins on such pieces, whatever the sizes.
     """
     low = lambda c: F.lower(F.trim(c))
     l = labels.select(label).distinct().withColumn("l", low(label))
-    r = roster.select("name", "pos", low("name").alias("n"))
-    token = l.select(label, F.explode(F.split("l", r"\s+")).alias("t")).where("t <> ''").join(r.select("name", "pos", F.explode(F.split("n", r"\s+")).alias("t")), "t").select(label, "name", "pos")
-    rest = l.join(token.select(label).distinct(), label, "left_anti")
-    part = rest.join(r, F.contains("l", "n") | F.contains("n", "l")).select(label, "name", "pos")
-    best = token.union(part).groupBy(label).agg(F.min_by("name", "pos").alias("name"))
+    r = roster.select("name", "pos", low("name").alias("n")).where("n <> ''")
+    head = lambda c: F.left(c, F.lit(PART)).alias("g")
+    pieces = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(PART)), lambda k: F.substr(c, i, k)))))).alias("g")
+    some = l.where("l <> ''")
+    inside = some.select(label, "l", head(F.col("l"))).join(r.select("name", "pos", "n", pieces(F.col("n"))), "g").where(F.contains("n", "l"))
+    around = some.select(label, "l", pieces(F.col("l"))).join(r.select("name", "pos", "n", head(F.col("n"))), "g").where(F.contains("l", "n"))
+    best = inside.select(label, "name", "pos").union(around.select(label, "name", "pos")).groupBy(label).agg(F.min_by("name", "pos").alias("name"))
     return l.select(label).join(best, label, "left").select(label, F.coalesce("name", label).alias("name"))
 
 

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from civicspark.session import cut
+
 
 def where_given(df: DataFrame, **equal: object) -> DataFrame:
     """Equality for every parameter that is not None; the others add no predicate at all."""
@@ -72,22 +74,23 @@ def seen_by_any(df: DataFrame, checks: list[tuple[str, DataFrame, str]], key: st
 def by_interval(df: DataFrame, date: str, roster: DataFrame, start: str = "start", end: str = "end", priority: str = "priority") -> DataFrame:
     """df with the roster row whose closed interval holds the date: the least priority of several, the greatest priority if none does.
 
-    The roster is cut at its own bounds into disjoint days-to-row pieces and looked up by an equi-join on the month.
+    Only the distinct dates are looked up, by an equi-join on the month with the roster cut into months, and then joined back, so
+    rows need no identity of their own and repeated dates cost nothing.
     """
     months = F.explode(F.sequence(F.trunc(start, "month"), F.trunc(end, "month"), F.expr("interval 1 month")))
     cells = roster.withColumn("__m", months)
-    keyed = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__m", F.trunc(date, "month"))
     extra = [c for c in roster.columns if c not in (start, end)]
-    hit = keyed.join(cells, "__m").where(F.col(date).between(F.col(start), F.col(end)))
-    best = hit.groupBy(*[c for c in keyed.columns if c != "__m"]).agg(F.min_by(F.struct(*extra), priority).alias("__r"))
+    days = df.select(F.col(date).alias("__day")).where("__day is not null").distinct().withColumn("__m", F.trunc("__day", "month"))
+    hit = days.join(cells, "__m").where(F.col("__day").between(F.col(start), F.col(end)))
+    best = hit.groupBy("__day").agg(F.min_by(F.struct(*extra), priority).alias("__r"))
     last = roster.orderBy(F.desc(priority)).limit(1).select(F.struct(*extra).alias("__last"))
-    rest = keyed.drop("__m").join(best.select("__id"), "__id", "left_anti").join(last, F.lit(True), "left").withColumnRenamed("__last", "__r")
-    both = best.unionByName(rest.select(*best.columns))
-    return both.select(*df.columns, *[F.col(f"__r.{c}").alias(c) for c in extra])
+    both = df.join(best, F.col(date) == F.col("__day"), "left").join(last, F.lit(True), "left")
+    r = F.coalesce("__r", "__last")
+    return both.withColumn("__r", r).select(*[df[c] for c in df.columns], *[F.col(f"__r.{c}").alias(c) for c in extra])
 
 
 def range_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, start: Column, end: Column, width: float) -> DataFrame:
-    """Pairs with equal keys whose right `at` lies in [start, end) of the left row, by an equi-join on buckets of `width`.
+    """Pairs with equal keys whose right `at` lies in [start, end] of the left row, both bounds included, by an equi-join on buckets of `width`.
 
     Left rows are repeated for each bucket that their range touches (few if width is near the ranges' length); right rows
     fall into one. start and end are columns of left.
@@ -95,7 +98,7 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, star
     bucket = F.explode(F.sequence(F.floor(start / width), F.floor(end / width)))
     a = left.withColumn("__s", start).withColumn("__e", end).withColumn("__b", bucket)
     b = right.withColumn("__b", F.floor(F.col(at) / width))
-    return a.join(b, [*keys, "__b"]).where((F.col(at) >= F.col("__s")) & (F.col(at) < F.col("__e"))).drop("__b", "__s", "__e")
+    return a.join(b, [*keys, "__b"]).where((F.col(at) >= F.col("__s")) & (F.col(at) <= F.col("__e"))).drop("__b", "__s", "__e")
 
 
 def by_position(rows: DataFrame, array: str, found: DataFrame, keys: list[str], index: str) -> DataFrame:
@@ -136,10 +139,10 @@ def round_robin(df: DataFrame, order: list[Column], n: int, name: str = "part")
     """Rows dealt to n parts by their place in `order`.
 
     Places are counted without a single-task window: rows are range-partitioned in order, counted per partition, and
-    numbered from their partition's offset.
+    numbered from their partition's offset. The partitions' numbers are written once, so both uses see the same ones.
     """
     ranged = df.withColumn("__k", F.struct(*order)).repartitionByRange("__k").sortWithinPartitions("__k")
-    tagged = ranged.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id() % (1 << 33))
+    tagged = cut(ranged.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id() % (1 << 33)))
     counts = tagged.groupBy("__p").agg(F.count("*").alias("__c"))
     before = counts.withColumn("__o", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return tagged.join(before, "__p").withColumn(name, F.pmod(F.col("__i") + F.col("__o"), F.lit(n))).drop("__k", "__p", "__i", "__c", "__o")

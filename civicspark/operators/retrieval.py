@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "with"]
@@ -91,15 +92,47 @@ def cover_density(post: DataFrame, queries: DataFrame, key: str, weight: float =
     return g.select("query_id", key, F.aggregate("o", start, step)["score"].alias("score"))
 
 
+#: Names of a batch that are sought one after another by the engine; more are sought all at once by an automaton.
+NAMES_IN_TURN = 64
+
+
+def _names_in(docs: DataFrame, text: str, needles: list[str]) -> DataFrame:
+    """docs without its text, a row for each needle that the text contains; both are in lower case."""
+    keep = [c for c in docs.columns if c != text]
+    if len(needles) <= NAMES_IN_TURN:
+        found = F.filter(F.array(*map(F.lit, needles)).cast("array<string>"), lambda n: F.contains(F.col(text), n))
+        return docs.withColumn("needle", found).where(F.size("needle") > 0).select(*keep, F.explode("needle").alias("needle"))
+    held = docs.sparkSession.sparkContext.broadcast(needles)
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("needle", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        a = ahocorasick.Automaton()
+        for n in held.value:
+            a.add_word(n, n)
+        a.make_automaton()
+        for b in batches:
+            at, hits = [], []
+            for i, t in enumerate(b.column(len(keep)).to_pylist()):
+                for n in {n for _, n in a.iter(t)} if t else ():
+                    at.append(i)
+                    hits.append(n)
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(at, pa.int64())) for k in range(len(keep))), pa.array(hits, pa.string())], names=schema.names)
+
+    return docs.select(*keep, text).mapInArrow(run, schema)
+
+
 def name_hits(docs: DataFrame, names: DataFrame, key: str, text: str, date: str, k: int) -> DataFrame:
     """(query_id, key, score = 1.0): the k latest documents of each name, a document once per query.
 
-    names: query_id, name. A document is matched by the name's rarest needle, its term array, before the substring test, so that
-    the join is an equi-join on the first word.
+    names: query_id, name, a batch of questions' names (they are held by every task). A name is a literal part of the text in
+    any case, wherever it stands, also within a word; null and blank names find nothing.
     """
-    n = names.select("query_id", "name", F.get(F.filter(F.split(F.regexp_replace(F.lower("name"), r"[^a-z0-9]+", " "), " "), lambda x: x != ""), F.lit(0)).alias("term"))
-    d = docs.select(key, text, F.col(date).alias("__date"), F.explode(F.array_distinct(terms(F.col(text), False))).alias("term"))
-    hit = d.join(n, "term").where(F.contains(F.lower(F.col(text)), F.lower("name")))
+    n = names.select("query_id", "name", F.lower("name").alias("needle")).where("trim(name) <> ''")
+    needles = sorted({r[0] for r in n.select("needle").distinct().toLocalIterator()})
+    d = docs.select(key, F.lower(F.col(text)).alias("__text"), F.col(date).alias("__date"))
+    hit = _names_in(d, "__text", needles).join(F.broadcast(n) if len(needles) <= NAMES_IN_TURN else n, "needle")
     w = Window.partitionBy("query_id", "name").orderBy(F.desc_nulls_last("__date"), key)
     top = hit.select("query_id", "name", key, "__date").distinct().withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
     return top.select("query_id", key).distinct().withColumn("score", F.lit(1.0))
@@ -119,9 +152,37 @@ def unit(v: Column) -> Column:
 
 
 def mean_pool(df: DataFrame, group: str, vector: str, dim: int) -> DataFrame:
-    """(group, vector): the normalised mean of a group's vectors; vectors of another length are left out."""
-    x = df.where(F.size(vector) == dim).select(group, F.posexplode(vector).alias("i", "x"))
-    m = x.groupBy(group, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    """(group, vector): the normalised mean of a group's vectors; vectors of another length are left out.
+
+    Every task sums its vectors by group first, so what is exploded and shuffled is one vector per task and group.
+    """
+    kind = df.schema[group].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        names = None
+        for b in batches:
+            names = b.column(0).type
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, dim)
+            keys = b.column(0).dictionary_encode()
+            at = keys.indices.fill_null(len(keys.dictionary)).to_numpy(zero_copy_only=False)
+            for i, k in enumerate([*keys.dictionary.to_pylist(), None]):
+                mine = x[at == i]
+                if len(mine):
+                    s, n = sums.get(k, (0.0, 0))
+                    sums[k] = (s + mine.sum(0), n + len(mine))
+            if len(sums) > 10_000:
+                yield _sums(sums, names)
+                sums = {}
+        if sums:
+            yield _sums(sums, names)
+
+    def _sums(sums: dict, names: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), names), pa.array([s.tolist() for s, _ in sums.values()], pa.list_(pa.float64())), pa.array([n for _, n in sums.values()], pa.int64())], names=["g", "s", "n"])
+
+    part = df.where(F.size(vector) == dim).select(group, vector).mapInArrow(run, f"g {kind}, s array<double>, n bigint").withColumnRenamed("g", group)
+    x = part.select(group, "n", F.posexplode("s").alias("i", "x"))
+    m = x.groupBy(group, "i").agg((F.sum("x") / F.sum("n")).alias("x"))
     v = m.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("v"))
     return v.select(group, unit(F.col("v")).alias(vector))
 
@@ -247,9 +308,12 @@ def citations(hits: DataFrame, key: str) -> DataFrame:
     return hits.withColumn("source_number", F.row_number().over(w)).withColumn("score", F.round("score", 4))
 
 
-def context_blocks(cited: DataFrame, title: str, date: str, text: str) -> DataFrame:
-    """(query_id, context): the cited texts in order under numbered headers, rules between them."""
-    block = F.concat(F.lit("[Source "), F.col("source_number").cast("string"), F.lit("] "), F.coalesce(F.col(title), F.lit("Untitled")), F.lit(" ("), F.coalesce(F.col(date).cast("string"), F.lit("no date")), F.lit(")\n"), F.col(text))
+def context_blocks(cited: DataFrame, title: str, date: str, text: str, committee: str | None = None, url: str | None = None) -> DataFrame:
+    """(query_id, context): the cited texts in order, each under its number and the lines of its header that say something, rules between them."""
+    said = lambda name, c: F.when(F.col(c).cast("string") != "", F.concat(F.lit(f"{name}: "), F.col(c).cast("string")))
+    lines = [said(n, c) for n, c in (("Title", title), ("Date", date), ("Committee", committee), ("URL", url)) if c]
+    head = F.concat_ws("\n", F.concat(F.lit("[Source "), F.col("source_number").cast("string"), F.lit("]")), *lines)
+    block = F.concat(head, F.lit("\n\n"), F.coalesce(F.col(text), F.lit("")))
     g = cited.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("source_number", block.alias("b")))).alias("bs"))
     return g.select("query_id", F.array_join(F.transform("bs", lambda x: x["b"]), "\n\n---\n\n").alias("context"))
 

@@ -123,8 +123,13 @@ def rolling_mean(df: DataFrame, groups: list[str], order: str, value: str, width
 
 
 def peers(counts: DataFrame, name: str, n: str, target: str, least: int = 3) -> DataFrame:
-    """All others with `least` or more; if there are none, all others."""
-    others = counts.where(F.lower(name) != target.lower())
+    """All but the target with `least` or more; if there are none, all but the target.
+
+    The target is the name as given, else the least name that contains it in any case; if there is none, there are no peers.
+    """
+    exact, part = F.col(name) == target, F.contains(F.lower(F.col(name)), F.lit(target.lower()))
+    found = counts.agg(F.coalesce(F.min(F.when(exact, F.col(name))), F.min(F.when(part, F.col(name)))).alias("__target")).where("__target is not null")
+    others = counts.join(F.broadcast(found), F.lit(True)).where(F.col(name) != F.col("__target")).drop("__target")
     many = others.where(F.col(n) >= least)
     none = many.agg(F.count("*").alias("k")).where("k = 0").drop("k")
     return many.union(others.join(none.withColumn("__one", F.lit(1)), F.lit(True)).select(*others.columns))

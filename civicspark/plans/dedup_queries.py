@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicspark.operators import corpus, dedup
-from civicspark.plans.scalars import _PAGE_SQL, _STORED_PAGE_SQL, classed_pages, stored_pages
+from civicspark.plans.scalars import _PAGE_SQL, classed_pages
 from civicspark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,14 +26,11 @@ def query(sql: str | None = None) -> Callable:
 
 
 def _chunks(s: SparkSession, d: str) -> DataFrame:
-    """Chunks as points: one row per id, the content cut for some so that low-value ones occur."""
-    c = table(s, d, "chunks").dropDuplicates(["id"])
-    content = F.when(F.length("id") + F.col("chunk_index") == 19, F.lit("Intentionally blank")).when(F.col("chunk_index") % 5 == 3, F.left("content", F.lit(30))).otherwise(F.col("content"))
-    return c.select("id", "chunk_index", content.alias("content"), F.col("metadata.title").alias("title"), F.col("metadata.meeting_date").alias("meeting_date"))
+    """Chunks as points with their content as stored: one row per id."""
+    return table(s, d, "chunks").dropDuplicates(["id"]).select("id", "chunk_index", "content", F.col("metadata.title").alias("title"), F.col("metadata.meeting_date").alias("meeting_date"))
 
 
-_C = """c AS (SELECT id, chunk_index, CASE WHEN length(id) + chunk_index = 19 THEN 'Intentionally blank' WHEN chunk_index % 5 = 3 THEN left(content, 30) ELSE content END AS content,
-           metadata.title AS title, metadata.meeting_date AS meeting_date FROM chunks QUALIFY row_number() OVER (PARTITION BY id) = 1),
+_C = """c AS (SELECT id, chunk_index, content, metadata.title AS title, metadata.meeting_date AS meeting_date FROM chunks QUALIFY row_number() OVER (PARTITION BY id) = 1),
      k AS (SELECT *, sha256(coalesce(content, '')) AS h, coalesce(title, '') AS t FROM c)"""
 
 
@@ -53,9 +50,9 @@ def dup_keepers(s: SparkSession, d: str) -> DataFrame:
     return dedup.keepers(_chunks(s, d), "content", "title", "meeting_date", "chunk_index", "id")
 
 
-@query("SELECT committee_name AS title, count(DISTINCT sha256(coalesce(content_text, ''))) AS versions, min(meeting_date) AS first_date, max(meeting_date) AS last_date FROM document_records WHERE committee_name <> '' GROUP BY 1 HAVING count(DISTINCT sha256(coalesce(content_text, ''))) > 1")
+@query("SELECT title, count(DISTINCT sha256(coalesce(content_text, ''))) AS versions, min(meeting_date) AS first_date, max(meeting_date) AS last_date FROM document_records WHERE title <> '' GROUP BY 1 HAVING count(DISTINCT sha256(coalesce(content_text, ''))) > 1")
 def revisions(s: SparkSession, d: str) -> DataFrame:
-    return dedup.revisions(table(s, d, "document_records"), "content_text", "committee_name", "meeting_date")
+    return dedup.revisions(table(s, d, "document_records"), "content_text", "title", "meeting_date")
 
 
 _LOW = r"""low AS (SELECT id, CASE WHEN length(regexp_replace(content, '\s', '', 'g')) < 50 AND length(regexp_replace(regexp_replace(trim(content), '^#{1,6}[ \t][^\n]*\n?', ''), '\s', '', 'g')) < 50 THEN 'short'
@@ -80,37 +77,6 @@ def _left(c: DataFrame) -> DataFrame:
     return groups.agg(F.sum("n").alias("rows_left"), F.count_if(F.col("n") > 1).cast("int").alias("groups_left"))
 
 
-def _stored(s: SparkSession, d: str) -> DataFrame:
-    """Chunks as points with their content as stored."""
-    return table(s, d, "chunks").dropDuplicates(["id"]).select("id", "chunk_index", "content", F.col("metadata.title").alias("title"), F.col("metadata.meeting_date").alias("meeting_date"))
-
-
-_STORED = """c AS (SELECT id, chunk_index, content, metadata.title AS title, metadata.meeting_date AS meeting_date FROM chunks QUALIFY row_number() OVER (PARTITION BY id) = 1),
-     k AS (SELECT *, sha256(coalesce(content, '')) AS h, coalesce(title, '') AS t FROM c)"""
-
-
-@query(f"""
-    WITH {_STORED} SELECT h AS content_hash, t AS group_title, count(*) AS n, count(*) - 1 AS removable, min(meeting_date) AS first_date, max(meeting_date) AS last_date,
-           coalesce(string_agg(DISTINCT meeting_date, ',' ORDER BY meeting_date), '') AS dates FROM k GROUP BY ALL HAVING count(*) > 1""")
-def dup_groups_stored(s: SparkSession, d: str) -> DataFrame:
-    return dedup.duplicate_groups(_stored(s, d), "content", "title", "meeting_date")
-
-
-@query(f"WITH {_STORED}, {_KEEP} SELECT id, kept_id, kept FROM p WHERE n > 1")
-def dup_keepers_stored(s: SparkSession, d: str) -> DataFrame:
-    return dedup.keepers(_stored(s, d), "content", "title", "meeting_date", "chunk_index", "id")
-
-
-@query(f"WITH {_STORED}, {_KEEP}, {_LOW} {_PURGE}")
-def purge_log_stored(s: SparkSession, d: str) -> DataFrame:
-    return dedup.purge_log(_stored(s, d), "content", "title", "meeting_date", "chunk_index", "id")
-
-
-@query(f"WITH {_STORED}, {_KEEP}, {_LOW}, x AS ({_PURGE}) SELECT count(*) AS rows_left, 0 AS groups_left FROM c WHERE id NOT IN (SELECT id FROM x)")
-def purge_verify_stored(s: SparkSession, d: str) -> DataFrame:
-    return _left(_stored(s, d))
-
-
 @query("SELECT doc_id, tenant_id FROM documents WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1")
 def first_occurrence(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "documents").where("text is not null").select("doc_id", "tenant_id", F.md5("text").alias("h"))
@@ -147,20 +113,6 @@ def ocr_estimate(s: SparkSession, d: str) -> DataFrame:
     return x.select("scenario", F.round("minutes", 6).alias("minutes"))
 
 
-_STORED_DOCS = _DOCS.replace(_PAGE_SQL, _STORED_PAGE_SQL)
-
-
-@query(f"WITH {_STORED_DOCS} SELECT document_id, pages, rich, sparse, image, unreadable, class, ocr_minutes FROM r")
-def doc_classification_stored(s: SparkSession, d: str) -> DataFrame:
-    return corpus.classify_documents(stored_pages(s, d), "document_id", "kind")
-
-
-@query(f"WITH {_STORED_DOCS}, t AS (SELECT sum(ocr_minutes) AS m FROM r) SELECT 'low' AS scenario, round(m * 0.8, 6) AS minutes FROM t UNION ALL SELECT 'expected', round(m, 6) FROM t UNION ALL SELECT 'high', round(m * 1.5, 6) FROM t")
-def ocr_estimate_stored(s: SparkSession, d: str) -> DataFrame:
-    x = corpus.ocr_scenarios(corpus.classify_documents(stored_pages(s, d), "document_id", "kind"))
-    return x.select("scenario", F.round("minutes", 6).alias("minutes"))
-
-
 @query("""
     SELECT document_type, count(*) AS n, sum(length(content_text)) AS total, round(avg(length(content_text)), 6) AS mean, max(length(content_text)) AS most, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM document_records GROUP BY 1""")
 def corpus_profile(s: SparkSession, d: str) -> DataFrame:

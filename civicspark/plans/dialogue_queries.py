@@ -107,9 +107,9 @@ _ROSTER_SQL = "(VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(_ROST
 
 
 @query(f"""
-    WITH l AS (SELECT DISTINCT name AS label FROM speaker_profiles), t AS (SELECT label, r.name, pos FROM l, {_ROSTER_SQL} WHERE list_has_any(string_split_regex(lower(trim(label)), '\\s+'), string_split_regex(lower(r.name), '\\s+'))),
-         p AS (SELECT label, r.name, pos FROM l, {_ROSTER_SQL} WHERE label NOT IN (SELECT label FROM t) AND (contains(lower(trim(label)), lower(r.name)) OR contains(lower(r.name), lower(trim(label)))))
-    SELECT l.label, coalesce(arg_min(x.name, x.pos), l.label) AS name FROM l LEFT JOIN (SELECT * FROM t UNION ALL SELECT * FROM p) x USING (label) GROUP BY 1""")
+    WITH l AS (SELECT DISTINCT name AS label, lower(trim(name)) AS l FROM speaker_profiles),
+         m AS (SELECT label, r.name, pos FROM l, {_ROSTER_SQL} WHERE l <> '' AND (l = lower(r.name) OR list_contains(string_split(lower(r.name), ' '), l) OR contains(l, lower(r.name)) OR contains(lower(r.name), l)))
+    SELECT l.label, coalesce(arg_min(m.name, m.pos), l.label) AS name FROM l LEFT JOIN m USING (label) GROUP BY 1""")
 def canonical_names(s: SparkSession, d: str) -> DataFrame:
     roster = s.createDataFrame(list(enumerate(_ROSTER)), "pos int, name string")
     return D.canonical(table(s, d, "speaker_profiles").select(F.col("name").alias("label")), roster)

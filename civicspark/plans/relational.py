@@ -223,20 +223,11 @@ def _aligned(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.groupBy("segment_id").agg(F.count("*").alias("n"), joined.alias("text"))
 
 
-@query("""
-    WITH g AS (SELECT DISTINCT segment_id, meeting_id, start_s, text FROM segments), a AS (SELECT * FROM g WHERE segment_id % 10 = 0), b AS (SELECT * FROM g WHERE segment_id % 10 <> 0)
-    SELECT a.segment_id, count(*) AS n, string_agg(b.text, ' ' ORDER BY b.start_s, b.text) AS text FROM a JOIN b ON a.meeting_id = b.meeting_id AND b.start_s >= a.start_s - 5 AND b.start_s < a.start_s + 30 GROUP BY 1""")
-def window_align_join(s: SparkSession, d: str) -> DataFrame:
-    """Text of one transcript around each anchor of another (here: every tenth segment and the rest)."""
-    g = table(s, d, "segments").select("segment_id", "meeting_id", "start_s", "text").distinct()
-    return _aligned(g.where("segment_id % 10 = 0"), g.where("segment_id % 10 <> 0"))
-
-
 @query("""
     WITH g AS (SELECT DISTINCT segment_id, meeting_id, start_s, text FROM segments)
-    SELECT a.segment_id, count(*) AS n, string_agg(b.text, ' ' ORDER BY b.start_s, b.text) AS text FROM g a JOIN g b ON a.meeting_id = b.meeting_id AND b.start_s >= a.start_s - 5 AND b.start_s < a.start_s + 30 GROUP BY 1""")
-def window_align_all(s: SparkSession, d: str) -> DataFrame:
-    """Text of the meeting around every segment, its own included."""
+    SELECT a.segment_id, count(*) AS n, string_agg(b.text, ' ' ORDER BY b.start_s, b.text) AS text FROM g a JOIN g b ON a.meeting_id = b.meeting_id AND b.start_s >= a.start_s - 5 AND b.start_s <= a.start_s + 30 GROUP BY 1""")
+def window_align_join(s: SparkSession, d: str) -> DataFrame:
+    """Text of the meeting from 5 s before to 30 s after the start of every segment, both included, its own too."""
     g = table(s, d, "segments").select("segment_id", "meeting_id", "start_s", "text").distinct()
     return _aligned(g, g)
 
@@ -380,9 +371,20 @@ def extraction_routes(s: SparkSession, d: str) -> DataFrame:
     return _records(s, d).groupBy(extraction_route(F.coalesce("document_type", F.lit("")), F.col("file_path")).alias("route")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT format, count(*) AS n FROM meetings GROUP BY 1")
+@query("""
+    WITH i AS (SELECT meeting_id, files_found, unnest(c.items) AS it FROM (SELECT meeting_id, files_found, unnest(categories) AS c FROM meetings)),
+         s AS (SELECT DISTINCT meeting_id FROM i WHERE it.item_id IS NOT NULL), f AS (SELECT DISTINCT meeting_id FROM meetings WHERE files_found > 1), m AS (SELECT DISTINCT meeting_id FROM meetings)
+    SELECT CASE WHEN meeting_id IN (SELECT meeting_id FROM s) THEN 'structured' WHEN meeting_id IN (SELECT meeting_id FROM f) THEN 'flat' ELSE 'empty' END AS format, count(*) AS n FROM m GROUP BY 1""")
 def format_report(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "meetings").groupBy("format").agg(F.count("*").alias("n"))
+    """Directories as their files tell: a listing made of each meeting's items (directories of their own) and found files."""
+    from civicspark.operators import nested
+    from civicspark.sources import meetings as M
+
+    m = table(s, d, "meetings")
+    own = m.select(F.col("meeting_id").alias("meeting_dir"), F.lit(None).cast("string").alias("sub_dir"), F.lit("meeting.json").alias("name"))
+    found = m.where("files_found > 1").select("meeting_id", F.lit(None).cast("string"), F.lit("agenda.txt"))
+    items = nested.items_table(m.select("meeting_id", "categories"), ["meeting_id"]).where("item_id is not null").select("meeting_id", "item_id", F.lit("item.json"))
+    return M.format_report(own.union(found).union(items))
 
 
 @query("""
@@ -395,7 +397,22 @@ def run_throughput(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT extraction_method AS source, count(*) AS n, round(avg(processing_time_ms), 6) AS mean_ms FROM document_pages GROUP BY 1")
 def extraction_latency(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "document_pages").groupBy(F.col("extraction_method").alias("source")).agg(F.count("*").alias("n"), F.round(F.avg("processing_time_ms"), 6).alias("mean_ms"))
+    from civicspark.operators import corpus
+
+    return corpus.service_stats(table(s, d, "document_pages"), "extraction_method", "processing_time_ms").withColumn("mean_ms", F.round("mean_ms", 6))
+
+
+@query("""
+    WITH r AS (SELECT count(*) AS n, count(*) / (date_diff('microsecond', min(updated_at), max(updated_at)) / 60e6) AS per_minute FROM document_records WHERE processing_status = 'complete'), l AS (SELECT count(*) AS k FROM document_records WHERE processing_status = 'pending')
+    SELECT n, round(per_minute, 9) AS per_minute, round(k / per_minute, 3) AS eta_minutes FROM r, l""")
+def run_eta(s: SparkSession, d: str) -> DataFrame:
+    """Rate of the finished records and how long the pending ones will take at it."""
+    from civicspark.operators import corpus
+
+    r = _records(s, d)
+    left = r.where("processing_status = 'pending'").agg(F.count("*").alias("left"))
+    t = corpus.throughput(r.where("processing_status = 'complete'"), "updated_at", 1).join(left)
+    return t.select("n", F.round("per_minute", 9).alias("per_minute"), F.round(F.col("left") * F.col("eta_minutes"), 3).alias("eta_minutes"))
 
 
 @query()

@@ -76,7 +76,7 @@ def fts_cover_density(s: SparkSession, d: str) -> DataFrame:
     return R.cover_density(R.postings(_chunks(s, d), "chunk_id", "content", _questions(s)), _questions(s), "chunk_id").withColumn("score", F.round("score", 6))
 
 
-NAMES = [(1, "Foxglen"), (1, "Upperfold"), (2, "Room B27")]
+NAMES = [(1, "Foxglen"), (1, "Upperfold"), (2, "Room B27"), (3, "oxgle"), (4, "pperfold, ")]
 _NAMES_SQL = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in NAMES) + ") v(query_id, name)"
 
 
@@ -113,12 +113,10 @@ def knn_compat_overfetch(s: SparkSession, d: str) -> DataFrame:
     return R.top_k(wide, 5, "vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT label, list_aggregate(list_transform(v, lambda x: x * x), 'sum') > 0.999999 AND len(v) = 64 AS unit_norm, n FROM (SELECT label, list(m / norm ORDER BY i) AS v, max(n) AS n FROM (SELECT *, sqrt(sum(m * m) OVER (PARTITION BY label)) AS norm FROM (SELECT label, i, avg(x) AS m, count(*) AS n FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL)) GROUP BY 1)")
+@query("WITH m AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE len(embedding) = 64) GROUP BY ALL) SELECT label, CAST(i - 1 AS INT) AS i, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 6) + 0.0 AS x FROM m")
 def mean_pool(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "embeddings")
-    v = R.mean_pool(e, "label", "embedding", 64)
-    n = e.groupBy("label").agg(F.count("*").alias("n"))
-    return v.join(n, "label").select("label", ((R.dot(F.col("embedding"), F.col("embedding")) > 0.999999) & (F.size("embedding") == 64)).alias("unit_norm"), "n")
+    v = R.mean_pool(table(s, d, "embeddings"), "label", "embedding", 64)
+    return v.select("label", F.posexplode("embedding").alias("i", "x")).select("label", "i", (F.round("x", 6) + 0.0).alias("x"))
 
 
 _LEGS = f"""{_TEXT}, k AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY tf DESC, chunk_id) AS rank FROM m),
@@ -184,9 +182,14 @@ def multi_query_union(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
     WITH {_LEGS}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS i FROM z) WHERE i <= 3)
-    SELECT query_id, string_agg('[Source ' || i || '] ' || coalesce(title, 'Untitled') || ' (' || coalesce(CAST(meeting_date AS VARCHAR), 'no date') || ')' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i) AS context FROM t GROUP BY 1""")
+    SELECT query_id, string_agg('[Source ' || i || ']' || CASE WHEN title <> '' THEN chr(10) || 'Title: ' || title ELSE '' END || CASE WHEN meeting_date IS NOT NULL THEN chr(10) || 'Date: ' || CAST(meeting_date AS VARCHAR) ELSE '' END
+           || CASE WHEN metadata.committee_name <> '' THEN chr(10) || 'Committee: ' || metadata.committee_name ELSE '' END || CASE WHEN metadata.source_url <> '' THEN chr(10) || 'URL: ' || metadata.source_url ELSE '' END || chr(10) || chr(10) || coalesce(t.content, ''),
+           chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i) AS context
+    FROM t JOIN (SELECT id AS chunk_id, metadata FROM chunks QUALIFY row_number() OVER (PARTITION BY id) = 1) USING (chunk_id) GROUP BY 1""")
 def context_block(s: SparkSession, d: str) -> DataFrame:
-    return R.context_blocks(R.citations(R.top_k(_hybrid(s, d), 3, "chunk_id"), "chunk_id"), "title", "meeting_date", "content")
+    top = R.citations(R.top_k(_hybrid(s, d), 3, "chunk_id"), "chunk_id")
+    more = table(s, d, "chunks").dropDuplicates(["id"]).select(F.col("id").alias("chunk_id"), F.col("metadata.committee_name").alias("committee"), F.col("metadata.source_url").alias("url"))
+    return R.context_blocks(top.join(more, "chunk_id"), "title", "meeting_date", "content", "committee", "url")
 
 
 @query(f"WITH {_LEGS} SELECT query_id, chunk_id, round(z.score * CASE d.document_type WHEN 'agenda' THEN 1.2 WHEN 'transcript' THEN 0.7 ELSE 1.0 END, 8) AS score FROM z JOIN c d USING (chunk_id)")

@@ -117,11 +117,6 @@ def sample_sizes(s: SparkSession, d: str) -> DataFrame:
     return near.union(mid).union(longest).distinct()
 
 
-@query("SELECT avg_value, n FROM (SELECT event_type, count(*) AS n, round(avg(value), 6) AS avg_value FROM events GROUP BY 1)")
-def service_stats(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("avg_value")).select("avg_value", "n")
-
-
 def _published(s: SparkSession, d: str) -> DataFrame:
     """Orders as a published table of strings, some numbers suppressed."""
     o = _orders(s, d)

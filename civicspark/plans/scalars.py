@@ -119,25 +119,6 @@ def slugs_and_hashes(s: SparkSession, d: str) -> DataFrame:
 _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
 
-@query(rf"""
-    WITH c AS (SELECT id, chunk_index, metadata.title AS title, CASE chunk_index % 4 WHEN 0 THEN '## ' || coalesce(metadata.title, 'x') || chr(10) || left(content, chunk_index * 3)
-                      WHEN 1 THEN ' This page is intentionally left  blank ' || repeat(' ', 3) WHEN 2 THEN '# ' || repeat('Header ', 12) ELSE content END AS t FROM chunks),
-         h AS (SELECT *, {_STRIP.format("regexp_replace(" + _STRIP.format("t") + r", '^#{1,6}[ \t][^\n]*\n?', '')")} AS body FROM c)
-    SELECT id, t AS content, length(regexp_replace(t, '\s', '', 'g')) AS dense,
-           CASE WHEN length(regexp_replace(t, '\s', '', 'g')) < 50 AND length(regexp_replace(body, '\s', '', 'g')) < 50 THEN 'short'
-                WHEN regexp_matches(t, '(?i)^\s*(this\s+page\s+(is\s+)?intentionally\s+(left\s+)?blank)\s*$') OR regexp_matches(t, '(?i)^\s*intentionally\s+blank\s*$') THEN 'blank'
-                WHEN body = '' OR lower(body) = lower({_STRIP.format("coalesce(title, '')")}) THEN 'header' END AS class
-    FROM h""")
-def low_value_class(s: SparkSession, d: str) -> DataFrame:
-    k, t = F.col("chunk_index"), F.col("metadata.title")
-    text = (
-        F.when(k % 4 == 0, F.concat(F.lit("## "), F.coalesce(t, F.lit("x")), F.lit("\n"), F.left("content", k * 3)))
-        .when(k % 4 == 1, F.lit(" This page is intentionally left  blank    ")).when(k % 4 == 2, F.lit("# " + "Header " * 12)).otherwise(F.col("content"))
-    )
-    c = table(s, d, "chunks").select("id", text.alias("content"), t.alias("title"))
-    return c.select("id", "content", X.dense_length(F.col("content")).alias("dense"), X.low_value(F.col("content"), F.col("title")).alias("class"))
-
-
 @query(rf"""
     WITH c AS (SELECT id, metadata.title AS title, content AS t FROM chunks),
          h AS (SELECT *, {_STRIP.format("regexp_replace(" + _STRIP.format("t") + r", '^#{1,6}[ \t][^\n]*\n?', '')")} AS body FROM c)
@@ -146,35 +127,21 @@ def low_value_class(s: SparkSession, d: str) -> DataFrame:
                 WHEN regexp_matches(t, '(?i)^\s*(this\s+page\s+(is\s+)?intentionally\s+(left\s+)?blank)\s*$') OR regexp_matches(t, '(?i)^\s*intentionally\s+blank\s*$') THEN 'blank'
                 WHEN body = '' OR lower(body) = lower({_STRIP.format("coalesce(title, '')")}) THEN 'header' END AS class
     FROM h""")
-def low_value_stored(s: SparkSession, d: str) -> DataFrame:
-    """low_value_class on the content as stored."""
+def low_value_class(s: SparkSession, d: str) -> DataFrame:
     c = table(s, d, "chunks").select("id", "content", F.col("metadata.title").alias("title"))
     return c.select("id", X.dense_length(F.col("content")).alias("dense"), X.low_value(F.col("content"), F.col("title")).alias("class"))
 
 
 _PAGE_SQL = r"""
-    p AS (SELECT id, document_id, page_number, CASE page_number % 4 WHEN 0 THEN left(content_text, 60) WHEN 3 THEN left(content_text, 6) ELSE content_text END AS t, 484704.0 AS area FROM document_pages),
+    p AS (SELECT id, document_id, page_number, content_text AS t, 484704.0 AS area FROM document_pages),
     q AS (SELECT *, length(regexp_replace(coalesce(t, ''), '^\s+|\s+$', '', 'g')) AS n, len(list_filter(string_split_regex(coalesce(t, ''), '\s+'), lambda x: length(x) >= 3)) AS w FROM p),
     k AS (SELECT *, CASE WHEN n > 100 AND n / area > 0.001 AND w >= 3 THEN 'TEXT_RICH' WHEN n >= 10 THEN 'TEXT_SPARSE' ELSE 'IMAGE_ONLY' END AS kind FROM q)"""
 
 
-_STORED_PAGE_SQL = _PAGE_SQL.replace("CASE page_number % 4 WHEN 0 THEN left(content_text, 60) WHEN 3 THEN left(content_text, 6) ELSE content_text END", "content_text")
-
-
 def classed_pages(s: SparkSession, d: str) -> DataFrame:
-    """Pages cut short in part, so that all classes occur."""
-    k = F.col("page_number") % 4
-    t = F.when(k == 0, F.left("content_text", F.lit(60))).when(k == 3, F.left("content_text", F.lit(6))).otherwise(F.col("content_text"))
-    return _classed(table(s, d, "document_pages").withColumn("t", t))
-
-
-def stored_pages(s: SparkSession, d: str) -> DataFrame:
-    """Pages with their whole text."""
-    return _classed(table(s, d, "document_pages").withColumn("t", F.col("content_text")))
-
-
-def _classed(p: DataFrame) -> DataFrame:
-    return p.select("id", "document_id", "page_number", "t").withColumn("kind", X.page_class(F.col("t"), F.lit(484704.0)))
+    """Pages with their whole text and its class."""
+    p = table(s, d, "document_pages").select("id", "document_id", "page_number", F.col("content_text").alias("t"))
+    return p.withColumn("kind", X.page_class(F.col("t"), F.lit(484704.0)))
 
 
 @query(f"""
@@ -186,15 +153,6 @@ def page_classes(s: SparkSession, d: str) -> DataFrame:
     return p.select("id", "page_number", "kind", X.ocr_overlay(F.col("t"), F.col("kind"), COMMON, ratio=0.1).alias("overlay"))
 
 
-@query(f"""
-    WITH {_STORED_PAGE_SQL}
-    SELECT id, page_number, kind, kind = 'TEXT_SPARSE' AND len(list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '')) >= 5
-        AND len(list_filter(list_filter(string_split_regex(lower(t), '\\s+'), lambda x: x <> ''), lambda x: list_contains({_COMMON_SQL}, trim(x, '.,;:!?()[]{{}}"''')))) / len(list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '')) < 0.1 AS overlay FROM k""")
-def page_classes_stored(s: SparkSession, d: str) -> DataFrame:
-    p = stored_pages(s, d)
-    return p.select("id", "page_number", "kind", X.ocr_overlay(F.col("t"), F.col("kind"), COMMON, ratio=0.1).alias("overlay"))
-
-
 _HTML_SQL = "'<!-- note --><div><dl><dt> Type </dt><dd> ' || coalesce(document_type, '') || ' </dd></dl><p>' || coalesce(title, '') || '</p><style>p {}</style>A &amp; B<br/></div><div class=\"goal\"><div class=\"name\">' || coalesce(committee_name, '') || '</div></div>'"
 
 
@@ -230,13 +188,13 @@ def time_and_token_estimates(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT id, regexp_replace(regexp_replace(regexp_replace(lower(title), '[^\\w\\s'']', '', 'g'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS plain,
+    SELECT id, regexp_replace(regexp_replace(regexp_replace(lower(title), '[^\\p{L}\\p{N}_\\s'']', '', 'g'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS plain,
            regexp_replace(replace(replace('\\--- ' || coalesce(title, '') || ' ---', '\\---', ''), '---', ''), '^\\s+|\\s+$', '', 'g') AS undashed,
            regexp_replace('postgres://u:' || id || '@h/db', '(://[^:/@\\s]+):[^@\\s]+@', '\\1:***@') AS dsn,
            CASE WHEN file_path LIKE '%.%' AND list_contains(['.pdf','.doc','.docx','.ppt','.pptx','.xls','.xlsx','.txt','.html'], lower(regexp_extract(file_path, '(\\.[^.]+)$', 1))) THEN lower(regexp_extract(file_path, '(\\.[^.]+)$', 1)) END AS ext
-    FROM document_records WHERE regexp_matches(coalesce(title, ''), '^[ -~]*$')""")
+    FROM document_records""")
 def text_cleaning(s: SparkSession, d: str) -> DataFrame:
-    r = _records(s, d).where(F.coalesce("title", F.lit("")).rlike("^[ -~]*$"))
+    r = _records(s, d)
     return r.select(
         "id", X.comparison_text(F.col("title")).alias("plain"), X.clean_dashes(F.concat(F.lit("\\--- "), F.coalesce("title", F.lit("")), F.lit(" ---"))).alias("undashed"),
         X.redact_dsn(F.concat(F.lit("postgres://u:"), "id", F.lit("@h/db"))).alias("dsn"), X.attachment_extension(F.col("file_path")).alias("ext"),
@@ -255,9 +213,9 @@ def sigmoid_and_clamp(s: SparkSession, d: str) -> DataFrame:
 
 @query("""
     SELECT profile_id, CASE WHEN profile_id % 2 = 0 THEN array_to_string(list_filter(string_split_regex(name, '\\s+'), lambda x: x <> ''), ' ') ELSE 'when was ' || name || ' seen' END AS q
-    FROM (SELECT DISTINCT profile_id, name FROM speaker_profiles WHERE name NOT LIKE '%"%')""")
+    FROM (SELECT DISTINCT profile_id, name FROM speaker_profiles)""")
 def keyword_query_rewrite(s: SparkSession, d: str) -> DataFrame:
-    p = table(s, d, "speaker_profiles").where(~F.col("name").contains('"')).select("profile_id", "name").distinct()
+    p = table(s, d, "speaker_profiles").select("profile_id", "name").distinct()
     q = F.concat(F.lit("when was "), "name", F.when(F.col("profile_id") % 2 == 0, " hired").otherwise(" seen"))
     return p.select("profile_id", X.keyword_query(q, F.array("name")).alias("q"))
 

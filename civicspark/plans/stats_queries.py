@@ -74,21 +74,12 @@ def mann_whitney_u(s: SparkSession, d: str) -> DataFrame:
     return S.mann_whitney(table(s, d, "lineitem"), ["l_linestatus"], "l_quantity", F.col("l_returnflag") == "A").drop("p")
 
 
-@query("""
-    WITH p AS (SELECT o_orderkey % 50 AS grp, o_orderkey AS k, (o_orderkey * 7919 % 10007) / 10007.0 * 0.02 AS p FROM orders WHERE o_orderkey < 2000),
-         t AS (SELECT *, 0.05 / (count(*) OVER (PARTITION BY grp) - row_number() OVER (PARTITION BY grp ORDER BY p, k) + 1) AS threshold FROM p)
-    SELECT grp, k, bool_and(p < threshold) OVER (PARTITION BY grp ORDER BY p, k) AS rejected FROM t""")
-def holm(s: SparkSession, d: str) -> DataFrame:
-    o = table(s, d, "orders").where("o_orderkey < 2000").select((F.col("o_orderkey") % 50).alias("grp"), F.col("o_orderkey").alias("k"), (F.col("o_orderkey") * 7919 % 10007 / 10007.0 * 0.02).alias("p"))
-    return S.holm(o, ["grp"], "p").select("grp", "k", "rejected")
-
-
 @query("""
     WITH p AS (SELECT o_orderkey % 50 AS grp, o_orderkey AS k, (o_orderkey * 7919 % 10007) / 10007.0 * 0.02 AS p FROM orders),
          t AS (SELECT *, 0.05 / (count(*) OVER (PARTITION BY grp) - row_number() OVER (PARTITION BY grp ORDER BY p, k) + 1) AS threshold FROM p)
     SELECT grp, k, bool_and(p < threshold) OVER (PARTITION BY grp ORDER BY p, k) AS rejected FROM t""")
-def holm_all(s: SparkSession, d: str) -> DataFrame:
-    """Holm's procedure over every order (holm takes the first 2,000 keys)."""
+def holm(s: SparkSession, d: str) -> DataFrame:
+    """Holm's procedure over every order, in fifty families."""
     o = table(s, d, "orders").select((F.col("o_orderkey") % 50).alias("grp"), F.col("o_orderkey").alias("k"), (F.col("o_orderkey") * 7919 % 10007 / 10007.0 * 0.02).alias("p"))
     return S.holm(o, ["grp"], "p").select("grp", "k", "rejected")
 
@@ -116,11 +107,13 @@ def rolling_mean(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    WITH c AS (SELECT name, max(len(meetings)) AS n FROM speaker_profiles GROUP BY 1), o AS (SELECT * FROM c WHERE lower(name) <> lower('Kwame Grettasby'))
-    SELECT name, n FROM o WHERE n >= 3""")
+    WITH c AS (SELECT name, max(len(meetings)) AS n FROM speaker_profiles GROUP BY 1),
+         t AS (SELECT coalesce(min(name) FILTER (name = 'Grettasby'), min(name) FILTER (contains(lower(name), 'grettasby'))) AS target FROM c), o AS (SELECT c.* FROM c, t WHERE name <> target)
+    SELECT name, n FROM o WHERE n >= 3 OR NOT EXISTS (SELECT 1 FROM o WHERE n >= 3)""")
 def peer_selection(s: SparkSession, d: str) -> DataFrame:
+    """The target is asked for by a part of its name."""
     c = table(s, d, "speaker_profiles").groupBy("name").agg(F.max(F.size("meetings")).alias("n"))
-    return S.peers(c, "name", "n", "Kwame Grettasby")
+    return S.peers(c, "name", "n", "Grettasby")
 
 
 @query("""

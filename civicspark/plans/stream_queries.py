@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicspark.session import table
+from civicspark.session import shared_dir, table
 from civicspark.streaming import activity as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,11 +58,31 @@ def session_windows(s: SparkSession, d: str) -> DataFrame:
     return out.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")], "n")
 
 
+def _in_two_arrivals(s: SparkSession, parts: list[DataFrame], plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """plan over a folder whose files come in two arrivals, each drained by a run of its own that goes on from the last one's checkpoint."""
+    base = f"{shared_dir(s)}/arrivals-{uuid.uuid4().hex}"
+    out = None
+    for p in parts:
+        p.write.mode("append").parquet(f"{base}/in")
+        out = A.drained(plan(A.parquet_stream(s, f"{base}/in", p.schema)), base=base)
+    return out
+
+
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def late_dedup(s: SparkSession, d: str) -> DataFrame:
-    """Each (user, type) once within the watermark of the single batch."""
-    e = A.event_time(_events(s, d), "ts", "400 days").select("user_id", "event_type", "ts")
-    return A.drained(A.once(e, ["user_id", "event_type"])).select("user_id", "event_type").distinct()
+    """Each (user, type) once, though all events come twice: those of the second arrival find theirs in the state."""
+    e = table(s, d, "events").select("user_id", "event_type", "ts")
+    return _in_two_arrivals(s, [e, e], lambda x: A.once(A.event_time(x, "ts", "400 days"), ["user_id", "event_type"])).select("user_id", "event_type")
+
+
+@query("""
+    WITH e AS (SELECT ts, event_id % 3 = 0 AS late FROM events), m AS (SELECT max(ts) FILTER (NOT late) - INTERVAL 10 MINUTE AS w1, max(ts) - INTERVAL 10 MINUTE AS w2 FROM e), w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, late FROM e)
+    SELECT window_start, count(*) AS n FROM w, m WHERE (NOT late OR window_start + INTERVAL 1 HOUR > date_trunc('millisecond', w1)) AND window_start + INTERVAL 1 HOUR <= date_trunc('millisecond', w2) GROUP BY 1""")
+def late_rows(s: SparkSession, d: str) -> DataFrame:
+    """Hourly counts as they are finished: a third of the events arrives after the others, and what falls into windows that the watermark has closed is dropped."""
+    e = table(s, d, "events").select("event_id", "ts")
+    out = _in_two_arrivals(s, [e.where("event_id % 3 <> 0"), e.where("event_id % 3 = 0")], lambda x: A.window_counts(A.event_time(x, "ts"), "ts", [], "1 hour"))
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("""

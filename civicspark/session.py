@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -30,21 +32,44 @@ def get_spark(master: str | None = None, app: str = "civicspark", **conf: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder stands in if the master is local (one machine) and is removed at exit; on a cluster
+    its executors would write to disks of their own, so that is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="civicspark-")
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        local = tempfile.mkdtemp(prefix="civicspark-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        path = "file://" + local
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+_CUTS = "cut-"
+
+
+def clear_cuts(spark: SparkSession) -> int:
+    """Remove what `cut` has written in this session; for the end of a job, when no plan that reads it will run any more."""
+    jvm, base = spark.sparkContext._jvm, shared_dir(spark)
+    root = jvm.org.apache.hadoop.fs.Path(base)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    mine = [p for p in fs.listStatus(root) if p.getPath().getName().startswith(f"{_CUTS}{spark.sparkContext.applicationId}-")] if fs.exists(root) else []
+    for p in mine:
+        fs.delete(p.getPath(), True)
+    return len(mine)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation.
 
     Parquet rather than an RDD checkpoint: it is compressed, and later readers still prune columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{_CUTS}{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -62,12 +62,13 @@ def normalised(fs: DataFrame | None = None, audit: DataFrame | None = None) -> D
 
 
 def mine_session(df: DataFrame, key: str, text: str, most: dict[str, int] | None = None) -> DataFrame:
-    """(key, models, paths, commands, errors, narrative): distinct finds of a terminal log in order, capped for the report."""
-    caps = {"models": 1000, "paths": 1000, "commands": 1000, "errors": 50} | (most or {})
+    """(key, models, paths, commands, errors, narrative): distinct finds of a terminal log in order; `most` caps a report's lists by name."""
+    caps = most or {}
     t = df.select(key, X.without_ansi(F.col(text)).alias("t"))
-    finds = [F.slice(F.array_distinct(F.regexp_extract_all("t", F.lit(p), 1)), 1, caps[n]).alias(n) for n, p in SESSION_PATTERNS.items()]
+    capped = lambda c, n: F.slice(c, 1, caps[n]) if n in caps else c
+    finds = [capped(F.array_distinct(F.regexp_extract_all("t", F.lit(p), 1)), n).alias(n) for n, p in SESSION_PATTERNS.items()]
     prose = F.filter(F.split("t", r"\r?\n"), lambda x: (F.length(F.trim(x)) > 40) & ~x.startswith("$ ") & ~F.lower(x).rlike(r"\b(error|exception|traceback|failed)\b"))
-    return t.select(key, *finds, F.slice(prose, 1, 100).alias("narrative"))
+    return t.select(key, *finds, capped(prose, "narrative").alias("narrative"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

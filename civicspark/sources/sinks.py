@@ -1,11 +1,13 @@
 """Writers: insert-ignore, merge, replace, delete and append, as new versions of Parquet tables.
 
-A table is a folder of version folders and a pointer file; readers follow the pointer, so a failed write is never
-seen and several tables can be published together.
+A table is a folder of version folders. What is published stands in numbered files of a log folder: each names the tables'
+versions, is complete before it gets its name by one rename, and is never changed or deleted, so a reader sees all tables of one
+publication or none of them, and never a table without a version.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,18 +20,32 @@ def _fs(spark: SparkSession, path: str) -> tuple:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def current(spark: SparkSession, table: str) -> str | None:
-    """The folder of the table's published version."""
-    fs, p = _fs(spark, f"{table}/CURRENT")
-    if not fs.exists(p):
-        return None
+def _parent(table: str) -> str:
+    return table.rstrip("/").rsplit("/", 1)[0]
+
+
+def _published(spark: SparkSession, log: str) -> tuple[int, dict[str, str]]:
+    """(number of the last publication, versions by table name) of a folder of tables; each file lists all its tables."""
+    fs, p = _fs(spark, f"{log}/_published")
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    last = max((int(n[:-5]) for n in names if n.endswith(".json")), default=-1)
+    if last < 0:
+        return -1, {}
+    fs, p = _fs(spark, f"{log}/_published/{last:012d}.json")
     s = fs.open(p)
     try:
-        return f"{table}/{spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(s, 'UTF-8').strip()}"
+        return last, json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(s, "UTF-8"))
     finally:
         s.close()
 
 
+def current(spark: SparkSession, table: str) -> str | None:
+    """The folder of the table's published version."""
+    name = table.rstrip("/").rsplit("/", 1)[1]
+    v = _published(spark, _parent(table))[1].get(name)
+    return f"{table}/{v}" if v else None
+
+
 def read(spark: SparkSession, table: str, schema: str | None = None) -> DataFrame:
     path = current(spark, table)
     if path is None:
@@ -39,24 +55,33 @@ def read(spark: SparkSession, table: str, schema: str | None = None) -> DataFram
     return spark.read.parquet(path)
 
 
-def publish(tables: dict[str, DataFrame], partition_by: list[str] | None = None) -> None:
-    """Write all tables, then move their pointers: readers see all old or, within the moves, new versions."""
+def publish(tables: dict[str, DataFrame], partition_by: list[str] | None = None, tries: int = 20) -> None:
+    """Write all tables, which share a parent folder, then publish their new versions together by one rename.
+
+    Two writers that publish at once are told apart by the number: a rename onto an existing file fails, and the loser, whose
+    versions stand, goes on from what the winner published.
+    """
     spark = next(iter(tables.values())).sparkSession
+    if len(logs := {_parent(t) for t in tables}) > 1:
+        raise ValueError(f"tables of several folders: {sorted(logs)}")
     new = {}
     for t, df in tables.items():
         v = f"v-{uuid.uuid4().hex}"
         w = df.write
         (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{t}/{v}")
-        new[t] = v
-    for t, v in new.items():
-        fs, p = _fs(spark, f"{t}/CURRENT")
-        _, tmp = _fs(spark, f"{t}/CURRENT.{v}")
-        out = fs.create(tmp, True)
-        out.write(bytearray(v.encode()))
+        new[t.rstrip("/").rsplit("/", 1)[1]] = v
+    log = logs.pop()
+    for _ in range(tries):
+        last, old = _published(spark, log)
+        fs, tmp = _fs(spark, f"{log}/_published/.{uuid.uuid4().hex}")
+        out = fs.create(tmp, False)
+        out.write(bytearray(json.dumps(old | new).encode()))
         out.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        fs.rename(tmp, p)
+        goal = _fs(spark, f"{log}/_published/{last + 1:012d}.json")[1]
+        if not fs.exists(goal) and fs.rename(tmp, goal):
+            return
+        fs.delete(tmp, False)
+    raise RuntimeError("other writers published at every try")
 
 
 def insert_ignore(target: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
@@ -115,6 +140,11 @@ def write_csv_union(parts: list[DataFrame], path: str) -> None:
     out.select(*names).write.mode("overwrite").option("header", "true").csv(path)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """JSON lines; null fields are written as null, so every line has all columns."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """JSON lines, appended."""
     df.write.mode("append").json(path)

@@ -59,13 +59,14 @@ def for_each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], ch
     return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drained(stream: DataFrame, mode: str = "append", base: str | None = None) -> DataFrame:
     """Run the stream over what there is and return its result as a table in the shared folder.
 
-    append: rows as finished (windows after their watermark); complete: the whole aggregate after the last batch.
+    append: rows as finished (windows after their watermark); complete: the whole aggregate after the last batch. `base` names
+    the run's folder: a second run with it goes on from where the first ended, with its state and watermark.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = base or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         to_parquet(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     else:

@@ -77,7 +77,7 @@ def test_interval_and_range_joins(spark):
     a = [(k % 3, random.uniform(0, 500)) for k in range(60)]
     b = [(k % 3, random.uniform(0, 500)) for k in range(200)]
     got = relational.range_join(spark.createDataFrame(a, "g int, t double"), spark.createDataFrame(b, "g int, u double"), ["g"], "u", F.col("t") - 5, F.col("t") + 30, 35.0).count()
-    assert got == sum(x == y and t - 5 <= u < t + 30 for x, t in a for y, u in b)
+    assert got == sum(x == y and t - 5 <= u <= t + 30 for x, t in a for y, u in b)
     with pytest.raises(ValueError):
         relational.tenant(d, "")
 

@@ -123,7 +123,7 @@ def test_office(spark):
 def test_open_data(spark, tmp_path):
     rows = [{"schoolyear": "2023", "n": k, ":id": f"r{k}"} for k in range(7)]
     (tmp_path / "abc.json").write_text(json.dumps(rows))
-    df = opendata.read_records(spark, str(tmp_path), ["abc", "missing"], ["schoolyear", "n", "other"], page_size=3, pages=3)
+    df = opendata.read_records(spark, str(tmp_path), ["abc", "missing"], ["schoolyear", "n", "other"], page_size=3, lanes=3)
     assert df.rdd.getNumPartitions() == 6 and sorted(r.n for r in df.collect()) == [str(k) for k in range(7)] and df.where("other is not null").count() == 0
     assert df.where("n = '4'").count() == 1
     assert opendata.read_json_array(spark, str(tmp_path / "none.json"), ["a"]).count() == 0
