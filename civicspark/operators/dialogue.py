@@ -64,38 +64,64 @@ def turn_keys(seg: DataFrame, max_gap: float | None = 1.0, slice_s: float = SLIC
     return with_island(cut(p), "meeting_id", "at", opens, "turn").select("segment_id", "meeting_id", "speaker", "at", "end_s", "turn")
 
 
-def islands(seg: DataFrame, max_gap: float | None = 1.0) -> DataFrame:
-    """Turns of segments_of: runs of one speaker with gaps below max_gap (None: any gap), with text, words and scores.
+def islands(seg: DataFrame, max_gap: float | None = 1.0, texts: bool = True) -> DataFrame:
+    """Turns of segments_of: runs of one speaker with gaps below max_gap (None: any gap), with words, sums of scores and, if wanted, text.
 
-    Turns are found on narrow rows and brought back by segment, so texts are shuffled only to be joined.
+    Turns are found on narrow rows and brought back by segment. Words and scores are summed in the aggregation (partial before
+    its shuffle); texts are shuffled only where they are asked for.
     """
-    t = seg.select("segment_id", "at", "end_s", "text", "n_words", "scores").join(turn_keys(seg, max_gap).select("segment_id", "meeting_id", "speaker", "turn"), "segment_id").drop("segment_id")
-    parts = F.array_sort(F.collect_list(F.struct("at", "end_s", "text")))
-    g = t.groupBy("meeting_id", "turn").agg(F.first("speaker").alias("speaker"), parts.alias("p"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_segments"), F.flatten(F.collect_list("scores")).alias("scores"))
-    return g.select("meeting_id", "turn", "speaker", F.col("turn.start_s").alias("start_s"), F.element_at("p.end_s", -1).alias("end_s"), F.array_join("p.text", " ").alias("text"), "n_words", "n_segments", "scores")
+    good = F.filter("scores", lambda x: x > 0)
+    total = F.coalesce(F.aggregate(good, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
+    own = seg.select("segment_id", "at", "end_s", "n_words", total.alias("score_sum"), F.coalesce(F.size(good), F.lit(0)).alias("score_n"), *(["text"] if texts else []))
+    t = own.join(turn_keys(seg, max_gap).select("segment_id", "meeting_id", "speaker", "turn"), "segment_id").drop("segment_id")
+    said = [F.array_sort(F.collect_list(F.struct("at", "text"))).alias("p")] if texts else []
+    g = t.groupBy("meeting_id", "turn").agg(
+        F.first("speaker").alias("speaker"), F.max_by("end_s", "at").alias("end_s"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_segments"), F.sum("score_sum").alias("score_sum"),
+        F.sum(F.greatest("score_n", F.lit(0))).alias("score_n"), *said,
+    )
+    out = ["meeting_id", "turn", "speaker", F.col("turn.start_s").alias("start_s"), "end_s", "n_words", "n_segments", "score_sum", "score_n"]
+    return g.select(*out, *([F.array_join("p.text", " ").alias("text")] if texts else []))
 
 
 def metrics(turns: DataFrame) -> DataFrame:
     """turns with wpm (0 without duration) and confidence (mean of scores above 0, else 0)."""
     dur = F.col("end_s") - F.col("start_s")
-    good = F.filter("scores", lambda x: x > 0)
-    mean = F.aggregate(good, F.lit(0.0), lambda a, x: a + x) / F.size(good)
-    return turns.withColumn("wpm", F.when(dur > 0, 60.0 * F.col("n_words") / dur).otherwise(0.0)).withColumn("confidence", F.when(F.size(good) > 0, mean).otherwise(0.0))
+    return turns.withColumn("wpm", F.when(dur > 0, 60.0 * F.col("n_words") / dur).otherwise(0.0)).withColumn("confidence", F.coalesce(F.try_divide(F.col("score_sum"), F.col("score_n")), F.lit(0.0)))
 
 
 def with_gaps(turns: DataFrame, rapid: float = 0.3) -> DataFrame:
-    """turns with prev_speaker, latency, pause and overlap: a negative gap, or one below `rapid` at a change of speaker."""
+    """turns with prev_speaker, latency, pause and overlap: a negative gap, or one below `rapid` at a change of speaker.
+
+    The turns are written once and read as their users need them: gaps are found on times and speakers alone, and every other
+    column joins them only where it is used.
+    """
     turns = cut(turns)
     p = with_previous(turns.select("meeting_id", "turn", "start_s", "end_s", "speaker"), "meeting_id", "turn", F.col("start_s"), ["speaker", "end_s"])
+    rest = [c for c in turns.columns if c not in ("start_s", "end_s", "speaker")]
+    if len(rest) > 2:
+        p = turns.select(*rest).join(p.drop("__slice"), ["meeting_id", "turn"])
     gap = F.round(F.col("start_s") - F.col("prev.end_s"), 6)
-    p = turns.join(p.select("meeting_id", "turn", F.col("prev.speaker").alias("prev_speaker"), gap.alias("latency")), ["meeting_id", "turn"])
+    p = p.withColumn("prev_speaker", F.col("prev.speaker")).withColumn("latency", gap).drop("prev", "__slice")
     over = (F.col("latency") < 0) | ((F.col("latency") < rapid) & (F.col("prev_speaker") != F.col("speaker")))
     pause = F.when(F.col("latency").isNull(), F.col("start_s")).when(F.col("latency") < 0, 0.0).otherwise(F.col("latency"))
     return p.withColumn("overlap", F.coalesce(over, F.lit(False))).withColumn("pause", pause)
 
 
-def dynamics(turns: DataFrame) -> DataFrame:
-    """Per meeting and speaker: time, share, turns, words, means and interruptions, from with_gaps(metrics(islands))."""
+def speaker_turns(seg: DataFrame, max_gap: float | None = 1.0) -> DataFrame:
+    """(meeting_id, turn, speaker, start_s, end_s) alone: what adjacency and gaps need; no text, word or score is shuffled."""
+    g = turn_keys(seg, max_gap).groupBy("meeting_id", "turn").agg(F.first("speaker").alias("speaker"), F.max_by("end_s", "at").alias("end_s"))
+    return g.select("meeting_id", "turn", "speaker", F.col("turn.start_s").alias("start_s"), "end_s")
+
+
+#: Places to which a report rounds the measures.
+PLACES = {"speaking_time_s": 1, "speaking_share_pct": 1, "mean_turn_length_words": 1, "mean_wpm": 1, "mean_confidence": 3, "mean_response_latency_s": 2}
+
+
+def dynamics(turns: DataFrame, places: dict[str, int] | None = PLACES) -> DataFrame:
+    """Per meeting and speaker: time, share, turns, words, means and interruptions, from with_gaps(metrics(islands)); None rounds nothing.
+
+    A meeting's whole time is an aggregate joined back, so no window holds a meeting.
+    """
     mine = turns.groupBy("meeting_id", "speaker").agg(
         F.sum(F.col("end_s") - F.col("start_s")).alias("speaking_time_s"), F.count("*").alias("turn_count"), F.sum("n_words").alias("total_words"), F.avg("wpm").alias("mean_wpm"),
         F.coalesce(F.avg(F.when(F.col("confidence") > 0, F.col("confidence"))), F.lit(0.0)).alias("mean_confidence"),
@@ -103,12 +129,14 @@ def dynamics(turns: DataFrame) -> DataFrame:
     )
     theirs = turns.where("prev_speaker <> speaker").groupBy("meeting_id", F.col("prev_speaker").alias("speaker")).agg(F.count_if("overlap").alias("interruptions_suffered"), F.avg("latency").alias("mean_response_latency_s"))
     j = mine.join(theirs, ["meeting_id", "speaker"], "left")
-    share = F.try_divide(100 * F.col("speaking_time_s"), F.sum("speaking_time_s").over(Window.partitionBy("meeting_id")))
-    return j.select(
-        "meeting_id", "speaker", F.round("speaking_time_s", 1).alias("speaking_time_s"), F.coalesce(F.round(share, 1), F.lit(0.0)).alias("speaking_share_pct"), "turn_count", "total_words",
-        F.round(F.col("total_words") / F.col("turn_count"), 1).alias("mean_turn_length_words"), F.round("mean_wpm", 1).alias("mean_wpm"), F.round("mean_confidence", 3).alias("mean_confidence"),
-        F.coalesce("interruptions_suffered", F.lit(0)).alias("interruptions_suffered"), "interruptions_initiated", F.round("mean_response_latency_s", 2).alias("mean_response_latency_s"),
-    )
+    whole = mine.groupBy("meeting_id").agg(F.sum("speaking_time_s").alias("whole"))
+    j = j.join(whole, "meeting_id")
+    out = {
+        "speaking_time_s": F.col("speaking_time_s"), "speaking_share_pct": F.coalesce(F.try_divide(100 * F.col("speaking_time_s"), F.col("whole")), F.lit(0.0)), "turn_count": F.col("turn_count"), "total_words": F.col("total_words"),
+        "mean_turn_length_words": F.col("total_words") / F.col("turn_count"), "mean_wpm": F.col("mean_wpm"), "mean_confidence": F.col("mean_confidence"),
+        "interruptions_suffered": F.coalesce("interruptions_suffered", F.lit(0)), "interruptions_initiated": F.col("interruptions_initiated"), "mean_response_latency_s": F.col("mean_response_latency_s"),
+    }
+    return j.select("meeting_id", "speaker", *[(F.round(c, places[n]) if places and n in places else c).alias(n) for n, c in out.items()])
 
 
 def adjacency(turns: DataFrame, least: int = 3, top: int | None = 30) -> DataFrame:

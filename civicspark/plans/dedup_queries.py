@@ -77,6 +77,31 @@ def _left(c: DataFrame) -> DataFrame:
     return groups.agg(F.sum("n").alias("rows_left"), F.count_if(F.col("n") > 1).cast("int").alias("groups_left"))
 
 
+_D = _C.replace("SELECT id, chunk_index, content, metadata.title AS title, metadata.meeting_date AS meeting_date FROM chunks QUALIFY row_number() OVER (PARTITION BY id) = 1", "SELECT CAST(doc_id AS VARCHAR) AS id, 0 AS chunk_index, text AS content, source AS title, CAST(meeting_date AS VARCHAR) AS meeting_date FROM documents")
+
+
+def _documents(s: SparkSession, d: str) -> DataFrame:
+    """Documents as points; unlike chunks they hold many exact copies."""
+    return table(s, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit(0).alias("chunk_index"), F.col("text").alias("content"), F.col("source").alias("title"), F.col("meeting_date").cast("string").alias("meeting_date"))
+
+
+@query(f"""
+    WITH {_D} SELECT h AS content_hash, t AS group_title, count(*) AS n, count(*) - 1 AS removable, min(meeting_date) AS first_date, max(meeting_date) AS last_date,
+           coalesce(string_agg(DISTINCT meeting_date, ',' ORDER BY meeting_date), '') AS dates FROM k GROUP BY ALL HAVING count(*) > 1""")
+def dup_groups_documents(s: SparkSession, d: str) -> DataFrame:
+    return dedup.duplicate_groups(_documents(s, d), "content", "title", "meeting_date")
+
+
+@query(f"WITH {_D}, {_KEEP}, {_LOW} {_PURGE}")
+def purge_log_documents(s: SparkSession, d: str) -> DataFrame:
+    return dedup.purge_log(_documents(s, d), "content", "title", "meeting_date", "chunk_index", "id")
+
+
+@query(f"WITH {_D}, {_KEEP}, {_LOW}, x AS ({_PURGE}) SELECT count(*) AS rows_left, 0 AS groups_left FROM c WHERE id NOT IN (SELECT id FROM x)")
+def purge_verify_documents(s: SparkSession, d: str) -> DataFrame:
+    return _left(_documents(s, d))
+
+
 @query("SELECT doc_id, tenant_id FROM documents WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1")
 def first_occurrence(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "documents").where("text is not null").select("doc_id", "tenant_id", F.md5("text").alias("h"))

@@ -29,7 +29,11 @@ def _segments(s: SparkSession, d: str) -> DataFrame:
 
 
 def _turns(s: SparkSession, d: str) -> DataFrame:
-    return D.with_gaps(D.metrics(D.islands(_segments(s, d))))
+    return D.with_gaps(D.metrics(D.islands(_segments(s, d), texts=False)))
+
+
+def _pairs(s: SparkSession, d: str) -> DataFrame:
+    return D.with_gaps(D.speaker_turns(_segments(s, d)))
 
 
 _T = """g AS (SELECT segment_id, meeting_id, coalesce(speaker, 'unknown') AS speaker, start_s, end_s, text, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n_words, list_transform(words, lambda w: w.score) AS scores
@@ -49,12 +53,12 @@ def turns_islands(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_T.replace(' OR round(start_s - lag(end_s) OVER w, 6) >= 1.0', '')} SELECT meeting_id, speaker, start_s, n_segments FROM t")
 def utterances_by_speaker(s: SparkSession, d: str) -> DataFrame:
-    return D.islands(_segments(s, d), None).select("meeting_id", "speaker", "start_s", "n_segments")
+    return D.islands(_segments(s, d), None, texts=False).select("meeting_id", "speaker", "start_s", "n_segments")
 
 
 @query(f"WITH {_T} SELECT meeting_id, start_s, speaker, prev_speaker, latency, round(pause, 6) AS pause, overlap FROM x")
 def turn_gaps(s: SparkSession, d: str) -> DataFrame:
-    return _turns(s, d).select("meeting_id", "start_s", "speaker", "prev_speaker", "latency", F.round("pause", 6).alias("pause"), "overlap")
+    return _pairs(s, d).select("meeting_id", "start_s", "speaker", "prev_speaker", "latency", F.round("pause", 6).alias("pause"), "overlap")
 
 
 @query(f"WITH {_T} SELECT meeting_id, start_s, round(wpm, 4) AS wpm, round(confidence, 6) AS confidence FROM x")
@@ -67,17 +71,19 @@ def turn_metrics(s: SparkSession, d: str) -> DataFrame:
          z AS (SELECT meeting_id, prev_speaker AS speaker, count(*) FILTER (overlap) AS suffered, avg(latency) AS lat FROM x WHERE prev_speaker <> speaker GROUP BY ALL)
     SELECT meeting_id, speaker, turn_count, total_words, interruptions_initiated, coalesce(suffered, 0) AS interruptions_suffered, round(mw, 0) AS mean_wpm, round(100 * st / sum(st) OVER (PARTITION BY meeting_id), 0) AS share FROM a LEFT JOIN z USING (meeting_id, speaker)""")
 def speaker_dynamics_counts(s: SparkSession, d: str) -> DataFrame:
-    x = D.dynamics(_turns(s, d))
-    exact = _turns(s, d).groupBy("meeting_id", "speaker").agg(F.sum(F.col("end_s") - F.col("start_s")).alias("st"), F.avg("wpm").alias("mw"))
-    total = exact.groupBy("meeting_id").agg(F.sum("st").alias("all"))
-    e = exact.join(total, "meeting_id").select("meeting_id", "speaker", F.round("mw", 0).alias("w0"), F.round(100 * F.col("st") / F.col("all"), 0).alias("share"))
-    return x.join(e, ["meeting_id", "speaker"]).select("meeting_id", "speaker", "turn_count", "total_words", "interruptions_initiated", "interruptions_suffered", F.col("w0").alias("mean_wpm"), "share")
+    x = D.dynamics(_turns(s, d), None)
+    return x.select("meeting_id", "speaker", "turn_count", "total_words", "interruptions_initiated", "interruptions_suffered", F.round("mean_wpm", 0).alias("mean_wpm"), F.round("speaking_share_pct", 0).alias("share"))
 
 
-@query()
+@query(f"""
+    WITH {_T}, a AS (SELECT meeting_id, speaker, sum(end_s - start_s) AS st, count(*) AS turn_count, CAST(sum(n_words) AS BIGINT) AS total_words, avg(wpm) AS mw, coalesce(avg(confidence) FILTER (confidence > 0), 0) AS mc, count(*) FILTER (overlap AND prev_speaker <> speaker) AS interruptions_initiated FROM x GROUP BY ALL),
+         z AS (SELECT meeting_id, prev_speaker AS speaker, count(*) FILTER (overlap) AS suffered, avg(latency) AS lat FROM x WHERE prev_speaker <> speaker GROUP BY ALL)
+    SELECT meeting_id, speaker, round(st, 8) AS speaking_time_s, round(coalesce(100 * st / NULLIF(sum(st) OVER (PARTITION BY meeting_id), 0), 0), 8) AS speaking_share_pct, turn_count, total_words, round(total_words / turn_count, 8) AS mean_turn_length_words, round(mw, 8) AS mean_wpm,
+           round(mc, 8) AS mean_confidence, coalesce(suffered, 0) AS interruptions_suffered, interruptions_initiated, round(lat, 8) AS mean_response_latency_s FROM a LEFT JOIN z USING (meeting_id, speaker)""")
 def speaker_dynamics(s: SparkSession, d: str) -> DataFrame:
-    """All measures, rounded as reported."""
-    return D.dynamics(_turns(s, d))
+    """All measures, to more places than a report shows."""
+    x = D.dynamics(_turns(s, d), None)
+    return x.select(*[F.round(c, 8).alias(c) if c in D.PLACES else c for c in x.columns])
 
 
 _ADJ = "adj AS (SELECT meeting_id, prev_speaker AS from_speaker, speaker AS to_speaker, count(*) AS n FROM x WHERE prev_speaker <> speaker GROUP BY ALL HAVING count(*) >= 3)"
@@ -85,7 +91,7 @@ _ADJ = "adj AS (SELECT meeting_id, prev_speaker AS from_speaker, speaker AS to_s
 
 @query(f"WITH {_T}, {_ADJ} SELECT meeting_id, from_speaker, to_speaker, n FROM adj QUALIFY row_number() OVER (PARTITION BY meeting_id ORDER BY n DESC, from_speaker, to_speaker) <= 30")
 def adjacency_pairs(s: SparkSession, d: str) -> DataFrame:
-    return D.adjacency(_turns(s, d))
+    return D.adjacency(_pairs(s, d))
 
 
 @query(f"""
@@ -93,7 +99,7 @@ def adjacency_pairs(s: SparkSession, d: str) -> DataFrame:
          gd AS (SELECT speaker, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o + i) AS BIGINT) AS degree FROM u GROUP BY 1)
     SELECT *, round(degree / sum(degree) OVER (), 9) AS share FROM gd""")
 def network_degree(s: SparkSession, d: str) -> DataFrame:
-    e = D.adjacency(_turns(s, d), top=None).groupBy("from_speaker", "to_speaker").agg(F.sum("n").alias("n"))
+    e = D.adjacency(_pairs(s, d), top=None).groupBy("from_speaker", "to_speaker").agg(F.sum("n").alias("n"))
     return D.degrees(e, "from_speaker", "to_speaker", "n").withColumn("share", F.round("share", 9))
 
 
