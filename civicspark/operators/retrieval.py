@@ -7,12 +7,13 @@ joins), adjusted by recency, optionally rescored on a small pool, and cut to k p
 from __future__ import annotations
 
 import datetime
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,31 +25,54 @@ STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in
 # --- full text -----------------------------------------------------------------------------------------
 
 
+Terms = Callable[[Column], Column]
+
+#: Scripts written without spaces between words: each character is a term.
+_ALONE = r"([\u3040-\u30ff\u3400-\u9fff])"
+
+
 def terms(text: Column, stop: bool = True) -> Column:
-    """ASCII-lower-case word terms in order, stop words dropped."""
-    t = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " "), " "), lambda x: x != "")
+    """Lower-case word terms of any script in order (kana and ideographs one by one), stop words dropped."""
+    apart = F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " "), _ALONE, " $1 ")
+    t = F.filter(F.split(apart, " "), lambda x: x != "")
     return F.filter(t, lambda x: ~x.isin(STOPWORDS)) if stop else t
 
 
-def postings(docs: DataFrame, key: str, text: str, queries: DataFrame | None = None) -> DataFrame:
-    """(term, key, positions, tf), to be stored partitioned by term where it is used again.
+def plural_stem(term: Column) -> Column:
+    """The published S-stemmer for English: -ies to -y (not -eies, -aies), -es to -e (not -aes, -ees, -oes), -s off (not -us, -ss); words of three letters stay."""
+    cut = lambda n: F.left(term, F.length(term) - n)
+    ends = lambda *e: F.lit(False) if not e else reduce(lambda a, b: a | b, [term.endswith(x) for x in e])
+    short = F.length(term) <= 3
+    return (
+        F.when(short, term).when(ends("ies") & ~ends("eies", "aies"), F.concat(cut(3), F.lit("y"))).when(ends("es") & ~ends("ies", "aes", "ees", "oes"), cut(1))
+        .when(ends("s") & ~ends("us", "ss", "es"), cut(1)).otherwise(term)
+    )
+
+
+def stemmed_terms(text: Column) -> Column:
+    """Terms under plural_stem; another stemmer is another function of this kind."""
+    return F.transform(terms(text), plural_stem)
+
+
+def postings(docs: DataFrame, key: str, text: str, queries: DataFrame | None = None, terms: Terms = terms) -> DataFrame:
+    """(term, key, positions, tf); `textindex.build` stores them.
 
     With `queries`, only their terms are kept, before anything is shuffled: what a batch of questions needs without an index.
     """
     p = docs.select(key, F.posexplode(terms(F.col(text))).alias("pos", "term"))
     if queries is not None:
-        p = p.join(query_terms(queries).select("term").distinct(), "term", "left_semi")
+        p = p.join(query_terms(queries, terms=terms).select("term").distinct(), "term", "left_semi")
     return p.groupBy("term", key).agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.count("*").alias("tf"))
 
 
-def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "text") -> DataFrame:
+def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "text", terms: Terms = terms) -> DataFrame:
     q = queries.select(query_id, F.array_distinct(terms(F.col(text))).alias("ts"))
     return q.select(query_id, F.size("ts").alias("n_terms"), F.explode("ts").alias("term"))
 
 
-def match_all(post: DataFrame, queries: DataFrame, key: str) -> DataFrame:
+def match_all(post: DataFrame, queries: DataFrame, key: str, terms: Terms = terms) -> DataFrame:
     """(query_id, key, tf): documents with every term of the query; tf is the number of occurrences of all."""
-    hit = query_terms(queries).join(post.select("term", key, "tf"), "term")
+    hit = query_terms(queries, terms=terms).join(post.select("term", key, "tf"), "term")
     g = hit.groupBy("query_id", key).agg(F.count("*").alias("found"), F.max("n_terms").alias("n_terms"), F.sum("tf").alias("tf"))
     return g.where("found = n_terms").select("query_id", key, "tf")
 
@@ -60,9 +84,8 @@ def match_phrase(post: DataFrame, queries: DataFrame, key: str) -> DataFrame:
     return starts.where("found = n").groupBy("query_id", key).agg(F.count("*").alias("hits"))
 
 
-def bm25(post: DataFrame, docs: DataFrame, queries: DataFrame, key: str, text: str, k1: float = 1.2, b: float = 0.75, need_all: bool = False) -> DataFrame:
-    """(query_id, key, score)."""
-    lengths = docs.select(key, F.size(terms(F.col(text))).alias("dl"))
+def bm25(post: DataFrame, lengths: DataFrame, queries: DataFrame, key: str, k1: float = 1.2, b: float = 0.75, need_all: bool = False) -> DataFrame:
+    """(query_id, key, score); lengths: (key, dl) of every text, as an index holds it."""
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     hit = query_terms(queries).join(post, "term")
     df = query_terms(queries).select("term").distinct().join(post, "term").groupBy("term").agg(F.count("*").alias("df"))
@@ -227,10 +250,10 @@ def _knn_part(vectors: DataFrame, queries: DataFrame, q: list, k: int, key: str,
         for whole in batches:
             for b in (whole.slice(at, step) for at in range(0, whole.num_rows, step)):
                 v = b.column(1)
-                ok = [x is not None and len(x) == m.shape[1] for x in v.to_pylist()] if len(ids) else []
-                if not any(ok):
+                ok = pc.fill_null(pc.equal(pc.list_value_length(v), m.shape[1]), False)
+                if not len(ids) or not pc.any(ok).as_py():
                     continue
-                b = b.filter(pa.array(ok))
+                b = b.filter(ok)
                 x = np.array(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1)
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
                 names = b.column(0).to_pylist()

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import datetime
+import os
+import urllib.parse
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicspark.operators import retrieval as R
-from civicspark.session import table
+from civicspark.operators import textindex as TI
+from civicspark.session import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,7 +42,31 @@ def _questions(s: SparkSession) -> DataFrame:
 
 
 def _terms_sql(x: str) -> str:
-    return f"list_filter(string_split(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '' AND NOT list_contains({_STOP}, x))"
+    return f"list_filter(string_split(regexp_replace(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g'), '([\\x{{3040}}-\\x{{30ff}}\\x{{3400}}-\\x{{9fff}}])', ' \\1 ', 'g'), ' '), lambda x: x <> '' AND NOT list_contains({_STOP}, x))"
+
+
+_INDEXES: dict[tuple, TI.TextIndex] = {}
+
+
+def _index(s: SparkSession, d: str, stem: bool = False) -> TI.TextIndex:
+    """The stored index of a folder's chunks, built at its first use in an application; changed files are indexed anew."""
+    files = tuple(sorted((f, os.path.getmtime(f.removeprefix("file://"))) if os.path.exists(f.removeprefix("file://")) else (f, 0.0) for f in map(urllib.parse.unquote, table(s, d, "chunks").inputFiles())))
+    key = (s.sparkContext.applicationId, d, stem, files)
+    if key not in _INDEXES:
+        _INDEXES[key] = _built(s, d, stem)
+    return _INDEXES[key]
+
+
+def _built(s: SparkSession, d: str, stem: bool = False) -> TI.TextIndex:
+    c = _chunks(s, d).select("chunk_id", "content")
+    return TI.build(c, "chunk_id", "content", f"{shared_dir(s)}/index-{uuid.uuid4().hex}", terms=R.stemmed_terms if stem else R.terms)
+
+
+@query("WITH t AS (SELECT chunk_id, unnest(ts) AS term FROM (SELECT id AS chunk_id, " + _terms_sql("content") + " AS ts FROM chunks QUALIFY row_number() OVER (PARTITION BY id) = 1)) SELECT count(*) AS postings, count(DISTINCT term) AS terms, CAST(sum(tf) AS BIGINT) AS occurrences FROM (SELECT term, chunk_id, count(*) AS tf FROM t GROUP BY ALL)")
+def index_build(s: SparkSession, d: str) -> DataFrame:
+    """A new index of all chunks, and what it holds."""
+    p = s.read.parquet(f"{_built(s, d).path}/postings")
+    return p.agg(F.count("*").alias("postings"), F.count_distinct("term").alias("terms"), F.sum("tf").alias("occurrences"))
 
 
 _TEXT = f"""c AS (SELECT id AS chunk_id, content, tenant_id, document_type, metadata.title AS title, TRY_CAST(metadata.meeting_date AS DATE) AS meeting_date FROM chunks QUALIFY row_number() OVER (PARTITION BY id) = 1),
@@ -49,12 +77,20 @@ _TEXT = f"""c AS (SELECT id AS chunk_id, content, tenant_id, document_type, meta
 
 @query(f"WITH {_TEXT} SELECT query_id, chunk_id, tf FROM m")
 def fts_and(s: SparkSession, d: str) -> DataFrame:
-    return R.match_all(R.postings(_chunks(s, d), "chunk_id", "content", _questions(s)), _questions(s), "chunk_id")
+    return R.match_all(_index(s, d).postings(_questions(s)), _questions(s), "chunk_id")
+
+
+_STEM = "list_transform({}, lambda x: CASE WHEN length(x) <= 3 THEN x WHEN regexp_matches(x, 'ies$') AND NOT regexp_matches(x, '[ea]ies$') THEN left(x, length(x) - 3) || 'y' WHEN regexp_matches(x, 'es$') AND NOT regexp_matches(x, '[iaeo]es$') THEN left(x, length(x) - 1) WHEN regexp_matches(x, 's$') AND NOT regexp_matches(x, '(us|ss|es)$') THEN left(x, length(x) - 1) ELSE x END)"
+
+
+@query(f"WITH {_TEXT.replace(_terms_sql('content'), _STEM.format(_terms_sql('content'))).replace(_terms_sql('text'), _STEM.format(_terms_sql('text')))} SELECT query_id, chunk_id, tf FROM m")
+def fts_stemmed(s: SparkSession, d: str) -> DataFrame:
+    return R.match_all(_index(s, d, True).postings(_questions(s)), _questions(s), "chunk_id", R.stemmed_terms)
 
 
 @query(f"WITH {_TEXT}, p AS (SELECT query_id, chunk_id, pos - qat AS st, count(*) AS f, max(n_terms) AS n FROM q JOIN o USING (term) GROUP BY ALL) SELECT query_id, chunk_id, count(*) AS hits FROM p WHERE f = n GROUP BY ALL")
 def fts_phrase(s: SparkSession, d: str) -> DataFrame:
-    return R.match_phrase(R.postings(_chunks(s, d), "chunk_id", "content", _questions(s)), _questions(s), "chunk_id")
+    return R.match_phrase(_index(s, d).postings(_questions(s)), _questions(s), "chunk_id")
 
 
 @query(f"""
@@ -63,8 +99,8 @@ def fts_phrase(s: SparkSession, d: str) -> DataFrame:
     SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
     FROM (SELECT DISTINCT query_id, term FROM q) JOIN t USING (term) JOIN f USING (term) JOIN l USING (chunk_id), st GROUP BY ALL""")
 def fts_bm25(s: SparkSession, d: str) -> DataFrame:
-    c = _chunks(s, d)
-    return R.bm25(R.postings(c, "chunk_id", "content", _questions(s)), c, _questions(s), "chunk_id", "content").withColumn("score", F.round("score", 6))
+    i = _index(s, d)
+    return R.bm25(i.postings(_questions(s)), i.lengths(), _questions(s), "chunk_id").withColumn("score", F.round("score", 6))
 
 
 @query(f"""
@@ -73,7 +109,7 @@ def fts_bm25(s: SparkSession, d: str) -> DataFrame:
          w AS (SELECT query_id, chunk_id, low, min(pos) AS pos FROM e WHERE have = (SELECT max(n_terms) FROM q WHERE q.query_id = e.query_id) GROUP BY ALL)
     SELECT query_id, chunk_id, round(sum(0.1 / (pos - low + 1)), 6) AS score FROM w GROUP BY ALL""")
 def fts_cover_density(s: SparkSession, d: str) -> DataFrame:
-    return R.cover_density(R.postings(_chunks(s, d), "chunk_id", "content", _questions(s)), _questions(s), "chunk_id").withColumn("score", F.round("score", 6))
+    return R.cover_density(_index(s, d).postings(_questions(s)), _questions(s), "chunk_id").withColumn("score", F.round("score", 6))
 
 
 NAMES = [(1, "Foxglen"), (1, "Upperfold"), (2, "Room B27"), (3, "oxgle"), (4, "pperfold, ")]
@@ -126,11 +162,31 @@ _LEGS = f"""{_TEXT}, k AS (SELECT query_id, chunk_id, row_number() OVER (PARTITI
     z AS (SELECT f.*, c.title, c.meeting_date, c.content, rrf * (1 + 0.3 * CASE WHEN c.meeting_date IS NULL THEN 0.5 WHEN c.meeting_date > DATE '2026-01-01' THEN 1.0 ELSE pow(0.5, (DATE '2026-01-01' - c.meeting_date) / 365.0) END) AS score FROM f JOIN c USING (chunk_id))"""
 
 
-def _fused(s: SparkSession, d: str) -> DataFrame:
+_LEGS3 = _LEGS.replace("    f AS (", f"""    qv AS (SELECT query_id, embedding FROM {_QUESTIONS_SQL.replace(") q(", ") u(")} JOIN embeddings ON vec_id = query_id), vs AS (SELECT a.query_id, b.vec_id, {_COS.replace(", 6)", ", 9)")} AS s FROM qv a, embeddings b),
+    cv AS (SELECT chunk_id, CAST('0x' || left(md5(chunk_id), 8) AS BIGINT) % (SELECT count(*) FROM embeddings) AS vec_id FROM c),
+    v2 AS (SELECT query_id, chunk_id, rank FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM vs JOIN cv USING (vec_id)) WHERE rank <= 20),
+    f AS (""").replace("UNION ALL SELECT * FROM n2)", "UNION ALL SELECT * FROM n2 UNION ALL SELECT query_id, chunk_id, rank FROM v2)")
+
+
+def _chunk_vectors(s: SparkSession, d: str) -> DataFrame:
+    """(chunk_id, embedding): the test data has no vectors of chunks, so each takes one of the table's by the hash of its id."""
+    e = table(s, d, "embeddings").select("vec_id", "embedding")
+    n = e.agg(F.count("*").alias("n"))
+    c = table(s, d, "chunks").select(F.col("id").alias("chunk_id")).distinct()
+    at = F.conv(F.left(F.md5("chunk_id"), F.lit(8)), 16, 10).cast("bigint") % F.col("n")
+    return c.join(n).select("chunk_id", at.alias("vec_id")).join(e, "vec_id").select("chunk_id", "embedding")
+
+
+def _vector_leg(s: SparkSession, d: str, questions: DataFrame) -> DataFrame:
+    q = table(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding").join(questions.select("query_id"), "query_id", "left_semi")
+    return R.knn(_chunk_vectors(s, d), q, 20, "chunk_id").select("query_id", "chunk_id", "score")
+
+
+def _fused(s: SparkSession, d: str, vectors: bool = False) -> DataFrame:
     c = _chunks(s, d)
-    keyword = R.match_all(R.postings(c, "chunk_id", "content", _questions(s)), _questions(s), "chunk_id").withColumnRenamed("tf", "score")
+    keyword = R.match_all(_index(s, d).postings(_questions(s)), _questions(s), "chunk_id").withColumnRenamed("tf", "score")
     names = R.name_hits(c, s.createDataFrame(NAMES, "query_id int, name string"), "chunk_id", "content", "meeting_date", 20)
-    return R.fuse({"keyword": keyword, "name": names}, "chunk_id")
+    return R.fuse({"keyword": keyword, "name": names} | ({"vector": _vector_leg(s, d, _questions(s))} if vectors else {}), "chunk_id")
 
 
 @query(f"WITH {_LEGS} SELECT query_id, chunk_id, round(rrf, 9) AS rrf_score, legs FROM f")
@@ -138,6 +194,11 @@ def rrf_2leg(s: SparkSession, d: str) -> DataFrame:
     return _fused(s, d).select("query_id", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), F.size("source_ranks").cast("bigint").alias("legs"))
 
 
+@query(f"WITH {_LEGS3} SELECT query_id, chunk_id, round(rrf, 9) AS rrf_score, legs FROM f")
+def rrf_3leg(s: SparkSession, d: str) -> DataFrame:
+    return _fused(s, d, True).select("query_id", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), F.size("source_ranks").cast("bigint").alias("legs"))
+
+
 @query("""
     WITH l AS (SELECT DISTINCT query_id, chunk_id, unnest(map_entries(source_ranks)) AS e FROM fused_chunks) SELECT query_id, chunk_id, round(sum(1.0 / (60 + r)), 9) AS rrf_score FROM (SELECT DISTINCT query_id, chunk_id, e.key AS k, e.value AS r FROM l) GROUP BY ALL""")
 def rrf_rebuild(s: SparkSession, d: str) -> DataFrame:
@@ -146,26 +207,26 @@ def rrf_rebuild(s: SparkSession, d: str) -> DataFrame:
     return l.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1 / (60 + F.col("r"))), 9).alias("rrf_score"))
 
 
-@query(f"WITH {_LEGS} SELECT query_id, chunk_id, round(score, 8) AS score FROM z")
+@query(f"WITH {_LEGS3} SELECT query_id, chunk_id, round(score, 8) AS score FROM z")
 def recency_boost(s: SparkSession, d: str) -> DataFrame:
-    h = R.with_recency(_fused(s, d).join(_chunks(s, d).select("chunk_id", "meeting_date"), "chunk_id"), "meeting_date", TODAY)
+    h = R.with_recency(_fused(s, d, True).join(_chunks(s, d).select("chunk_id", "meeting_date"), "chunk_id"), "meeting_date", TODAY)
     return h.select("query_id", "chunk_id", F.round("score", 8).alias("score"))
 
 
 def _hybrid(s: SparkSession, d: str) -> DataFrame:
-    fused = _fused(s, d).join(_chunks(s, d).select("chunk_id", "title", "meeting_date", "document_type", "content"), "chunk_id")
+    fused = _fused(s, d, True).join(_chunks(s, d).select("chunk_id", "title", "meeting_date", "document_type", "content"), "chunk_id")
     return R.with_recency(fused, "meeting_date", TODAY)
 
 
-@query(f"WITH {_LEGS} SELECT query_id, source_number, chunk_id, title, meeting_date, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS source_number FROM z) WHERE source_number <= 10")
+@query(f"WITH {_LEGS3} SELECT query_id, source_number, chunk_id, title, meeting_date, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS source_number FROM z) WHERE source_number <= 10")
 def hybrid_citations(s: SparkSession, d: str) -> DataFrame:
-    """The flagship: keyword and name legs, fusion, recency, ten citations per question."""
+    """The flagship: keyword, name and vector legs, fusion, recency, ten citations per question."""
     top = R.top_k(_hybrid(s, d), 10, "chunk_id")
     return R.citations(top, "chunk_id").select("query_id", "source_number", "chunk_id", "title", "meeting_date", "score")
 
 
 @query(f"""
-    WITH {_LEGS}, p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rn FROM z) WHERE rn <= 20),
+    WITH {_LEGS3}, p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rn FROM z) WHERE rn <= 20),
          x AS (SELECT p.query_id, p.chunk_id, len(list_intersect(list_distinct({_terms_sql("v.text")}), list_distinct({_terms_sql("p.content")}))) / len(list_distinct({_terms_sql("v.text")})) AS s FROM p JOIN {_QUESTIONS_SQL.replace(") q(", ") v(")} USING (query_id))
     SELECT query_id, chunk_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS r FROM x) WHERE r <= 10""")
 def rerank_pool(s: SparkSession, d: str) -> DataFrame:
@@ -173,7 +234,7 @@ def rerank_pool(s: SparkSession, d: str) -> DataFrame:
     return R.rescore(h, "text", "content", "chunk_id", 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_LEGS}, t AS (SELECT chunk_id, max(score) AS score FROM z GROUP BY 1) SELECT chunk_id, round(score, 8) AS score FROM t ORDER BY t.score DESC, chunk_id LIMIT 15")
+@query(f"WITH {_LEGS3}, t AS (SELECT chunk_id, max(score) AS score FROM z GROUP BY 1) SELECT chunk_id, round(score, 8) AS score FROM t ORDER BY t.score DESC, chunk_id LIMIT 15")
 def multi_query_union(s: SparkSession, d: str) -> DataFrame:
     """Hits of several sub-queries, each chunk once, sorted anew."""
     t = _hybrid(s, d).groupBy("chunk_id").agg(F.max("score").alias("score"))
@@ -181,7 +242,7 @@ def multi_query_union(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {_LEGS}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS i FROM z) WHERE i <= 3)
+    WITH {_LEGS3}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS i FROM z) WHERE i <= 3)
     SELECT query_id, string_agg('[Source ' || i || ']' || CASE WHEN title <> '' THEN chr(10) || 'Title: ' || title ELSE '' END || CASE WHEN meeting_date IS NOT NULL THEN chr(10) || 'Date: ' || CAST(meeting_date AS VARCHAR) ELSE '' END
            || CASE WHEN metadata.committee_name <> '' THEN chr(10) || 'Committee: ' || metadata.committee_name ELSE '' END || CASE WHEN metadata.source_url <> '' THEN chr(10) || 'URL: ' || metadata.source_url ELSE '' END || chr(10) || chr(10) || coalesce(t.content, ''),
            chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i) AS context
@@ -192,7 +253,7 @@ def context_block(s: SparkSession, d: str) -> DataFrame:
     return R.context_blocks(top.join(more, "chunk_id"), "title", "meeting_date", "content", "committee", "url")
 
 
-@query(f"WITH {_LEGS} SELECT query_id, chunk_id, round(z.score * CASE d.document_type WHEN 'agenda' THEN 1.2 WHEN 'transcript' THEN 0.7 ELSE 1.0 END, 8) AS score FROM z JOIN c d USING (chunk_id)")
+@query(f"WITH {_LEGS3} SELECT query_id, chunk_id, round(z.score * CASE d.document_type WHEN 'agenda' THEN 1.2 WHEN 'transcript' THEN 0.7 ELSE 1.0 END, 8) AS score FROM z JOIN c d USING (chunk_id)")
 def authority_weight(s: SparkSession, d: str) -> DataFrame:
     h = R.with_authority(_hybrid(s, d), "document_type", {"agenda": 1.2, "transcript": 0.7})
     return h.select("query_id", "chunk_id", F.round("score", 8).alias("score"))
@@ -208,12 +269,31 @@ def question_route(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {_LEGS}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS i FROM z) WHERE i <= 3)
+    WITH {_LEGS3}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS i FROM z) WHERE i <= 3)
     SELECT query_id, string_agg(string_split(regexp_replace(regexp_replace(content, '^\\s+', ''), '([.!?])\\s+', '\\1' || chr(1)), chr(1))[1] || ' [Source ' || i || ']', ' ' ORDER BY i) AS answer FROM t GROUP BY 1""")
 def extractive_answers(s: SparkSession, d: str) -> DataFrame:
     return R.extractive_answer(R.citations(R.top_k(_hybrid(s, d), 3, "chunk_id"), "chunk_id"), "content")
 
 
+_BATCH = "(SELECT query_id, text FROM (SELECT title AS text, row_number() OVER (ORDER BY md5(title), title) AS query_id FROM (SELECT DISTINCT title FROM document_records WHERE title <> '')) WHERE query_id <= 100)"
+
+
+@query(f"""
+    WITH {_TEXT.replace(_QUESTIONS_SQL, _BATCH).replace("FROM (SELECT query_id, " + _terms_sql("text"), "FROM (SELECT query_id, list_distinct(" + _terms_sql("text") + ")")}, k AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY tf DESC, chunk_id) AS rank FROM m),
+         vs AS (SELECT a.query_id, b.vec_id, {_COS.replace(", 6)", ", 9)")} AS s FROM (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id BETWEEN 1 AND 100 AND vec_id IN (SELECT query_id FROM {_BATCH})) a, embeddings b),
+         cv AS (SELECT chunk_id, CAST('0x' || left(md5(chunk_id), 8) AS BIGINT) % (SELECT count(*) FROM embeddings) AS vec_id FROM c),
+         v2 AS (SELECT query_id, chunk_id, rank FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM vs JOIN cv USING (vec_id)) WHERE rank <= 20),
+         f AS (SELECT query_id, chunk_id, sum(1.0 / (60 + rank)) AS rrf FROM (SELECT * FROM k UNION ALL SELECT * FROM v2) GROUP BY ALL)
+    SELECT query_id, chunk_id, round(rrf, 9) AS rrf_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, chunk_id) AS r FROM f) WHERE r <= 10""")
+def hybrid_batch(s: SparkSession, d: str) -> DataFrame:
+    """A hundred questions at once (titles of records): stored index and vectors, fused, ten chunks each."""
+    t = table(s, d, "document_records").where("title <> ''").select(F.col("title").alias("text")).distinct().orderBy(F.md5("text"), "text").limit(100)
+    q = s.createDataFrame([(i, r[0]) for i, r in enumerate(t.collect(), 1)], "query_id bigint, text string")
+    keyword = R.match_all(_index(s, d).postings(q), q, "chunk_id").withColumnRenamed("tf", "score")
+    fused = R.fuse({"keyword": keyword, "vector": _vector_leg(s, d, q)}, "chunk_id").withColumn("score", F.round("rrf_score", 9))
+    return R.top_k(fused, 10, "chunk_id").select("query_id", "chunk_id", F.col("score").alias("rrf_score"))
+
+
 @query()
 def api_ask(s: SparkSession, d: str) -> DataFrame:
     """All three legs through the library's entry point."""
