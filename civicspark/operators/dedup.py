@@ -55,9 +55,13 @@ def first_occurrence(df: DataFrame, keys: list[Column], position: list[Column])
 
 
 def unlike_names(df: DataFrame, stem: str, key: str, name: str = "name") -> DataFrame:
-    """Stems that collide get four hex digits of their key's md5; the least key keeps its stem."""
-    w = Window.partitionBy(stem).orderBy(key)
-    return df.withColumn(name, F.when(F.row_number().over(w) > 1, F.concat(stem, F.lit("-"), F.left(F.md5(F.col(key)), F.lit(4)))).otherwise(F.col(stem)))
+    """Stems that collide get four hex digits of their key's md5; the least key keeps its stem. Keys are unique.
+
+    The least key is an aggregate joined back, so a stem with a third of all rows is never one task's sort.
+    """
+    least = df.groupBy(stem).agg(F.min(key).alias("__least"))
+    suffixed = F.concat(stem, F.lit("-"), F.left(F.md5(F.col(key)), F.lit(4)))
+    return df.join(least, stem).withColumn(name, F.when(F.col(key) == F.col("__least"), F.col(stem)).otherwise(suffixed)).drop("__least")
 
 
 def copies_distribution(df: DataFrame, keys: list[Column]) -> DataFrame:

@@ -44,8 +44,8 @@ def plural_stem(term: Column) -> Column:
     ends = lambda *e: F.lit(False) if not e else reduce(lambda a, b: a | b, [term.endswith(x) for x in e])
     short = F.length(term) <= 3
     return (
-        F.when(short, term).when(ends("ies") & ~ends("eies", "aies"), F.concat(cut(3), F.lit("y"))).when(ends("es") & ~ends("ies", "aes", "ees", "oes"), cut(1))
-        .when(ends("s") & ~ends("us", "ss", "es"), cut(1)).otherwise(term)
+        F.when(short, term).when(ends("ies") & ~ends("eies", "aies"), F.concat(cut(3), F.lit("y"))).when(ends("es") & ~ends("aes", "ees", "oes"), cut(1))
+        .when(ends("s") & ~ends("us", "ss"), cut(1)).otherwise(term)
     )
 
 

@@ -1,15 +1,10 @@
-"""Roll-ups of statistical tables: named builders are compositions of these."""
+"""Roll-ups of statistical tables; the named reports (reports.py) are declared over these and steps of their own."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civicspark.functions.text import suppressed_number
-
 
 def first_per(df: DataFrame, keys: list[str], position: str, values: list[str]) -> DataFrame:
     """The first row's values per key, by an explicit position."""
@@ -65,60 +60,3 @@ def either(df: DataFrame, *names: str) -> Column:
     """The first of several columns that the table has (the names vary by year); null if it has none."""
     have = [F.col(n) for n in names if n in df.columns]
     return F.coalesce(*have) if have else F.lit(None).cast("string")
-
-
-@dataclass(frozen=True)
-class Builder:
-    """A named roll-up over records of strings: which rows, which key, which numbers, which order."""
-
-    name: str
-    keys: tuple[tuple[str, ...], ...]
-    measures: tuple[tuple[str, ...], ...]
-    only: dict[str, tuple[str, ...]] = field(default_factory=dict)
-    wins: str = "last"
-    top: int | None = None
-    latest: bool = False
-
-    def build(self, df: DataFrame, position: str) -> DataFrame:
-        """(keys..., measures...): numbers parsed, repeated keys settled by position, the latest year or the top if asked for.
-
-        Columns go by the first of their names that the table has; a table without rows gives none. Suppressed numbers are null.
-        """
-        rows = reduce(lambda x, kv: x.where(either(x, kv[0]).isin(*kv[1])), self.only.items(), df)
-        key = [n[0] for n in self.keys]
-        got = rows.select(
-            *[either(rows, *n).alias(n[0]) for n in self.keys], *[F.nullif(suppressed_number(either(rows, *n), -1.0), F.lit(-1.0)).alias(n[0]) for n in self.measures], F.col(position).alias("__pos")
-        )
-        values = [n[0] for n in self.measures]
-        out = (last_per if self.wins == "last" else first_per)(got, key, "__pos", values)
-        if self.latest:
-            out = latest_slice(out, key[0])
-        if self.top:
-            out = out.orderBy(F.desc_nulls_last(values[0]), *key).limit(self.top)
-        return out
-
-
-_YEAR = ("schoolyear", "school_year", "year")
-#: The named roll-ups. Column names of the published tables are fixed values.
-BUILDERS = {
-    b.name: b
-    for b in (
-        Builder("enrollment_trend", (_YEAR,), (("all_students", "allstudents"),), {"gradelevel": ("All Grades", "AllGrades")}, "first"),
-        Builder("enrollment_grades", (_YEAR, ("gradelevel",)), (("all_students", "allstudents"),), {}, "first", latest=True),
-        Builder("assessment", (_YEAR, ("testsubject",), ("gradelevel",)), (("percentmetstandard", "percent_met_standard"),)),
-        Builder("assessment_groups", (_YEAR, ("studentgroup",)), (("percentmetstandard", "percent_met_standard"),), latest=True, top=20),
-        Builder("graduation", (_YEAR, ("cohort",)), (("graduationrate", "graduation_rate"),), {}, "first"),
-        Builder("graduation_groups", (_YEAR, ("studentgroup",)), (("graduationrate", "graduation_rate"),), latest=True, top=25),
-        Builder("attendance", (_YEAR, ("gradelevel",)), (("regularattendance", "numerator"),)),
-        Builder("discipline", (_YEAR, ("gradelevel",)), (("disciplinerate", "discipline_rate"),)),
-        Builder("teachers", (_YEAR, ("demographic", "experience")), (("teachercount", "teacher_count"),)),
-        Builder("quality_indicators", (_YEAR, ("measure", "measures")), (("percent", "rate"),)),
-        Builder("growth", (_YEAR, ("subject",), ("gradelevel",)), (("mediansgp", "median_sgp"),), latest=True),
-        Builder("readiness", (_YEAR, ("measure", "domain")), (("percent", "rate"),)),
-        Builder("highly_capable", (("schoolname", "school_name"),), (("percent", "rate"),), top=20),
-        Builder("improvement_tiers", (("schoolname", "school_name"),), (("decile",),)),
-        Builder("language_tests", (_YEAR, ("gradelevel",)), (("percent", "rate"),)),
-        Builder("expenditure", (_YEAR,), (("perpupil", "per_pupil_expenditure"),), {}, "first"),
-        Builder("grants", (_YEAR, ("schoolname", "school_name")), (("award", "amount"),)),
-    )
-}

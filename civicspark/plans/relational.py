@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from civicspark.operators import relational as R
-from civicspark.session import table
+from civicspark.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -145,12 +145,17 @@ def row_cap(s: SparkSession, d: str) -> DataFrame:
          v AS (SELECT meeting_id, segment_id, row_number() OVER (PARTITION BY meeting_id ORDER BY rn) AS vn FROM n WHERE rn > 150 AND regexp_matches(lower(text), 'motion|second|aye|approve'))
     SELECT meeting_id, segment_id FROM n WHERE rn <= 150 UNION ALL SELECT meeting_id, segment_id FROM v WHERE vn <= 50""")
 def keyword_segments(s: SparkSession, d: str) -> DataFrame:
-    """The first 150 segments of a meeting and up to 50 later ones that mention a vote."""
-    g = table(s, d, "segments").select("segment_id", "meeting_id", "start_s", "text").distinct()
-    n = g.withColumn("rn", F.row_number().over(Window.partitionBy("meeting_id").orderBy("start_s", "segment_id")))
-    votes = n.where((F.col("rn") > 150) & F.lower("text").rlike("motion|second|aye|approve"))
-    votes = votes.withColumn("vn", F.row_number().over(Window.partitionBy("meeting_id").orderBy("rn"))).where("vn <= 50")
-    return n.where("rn <= 150").select("meeting_id", "segment_id").union(votes.select("meeting_id", "segment_id"))
+    """The first 150 segments of a meeting and up to 50 later ones that mention a vote.
+
+    Both cuts are limited windows, which every task applies before the shuffle, so no meeting is numbered whole.
+    """
+    g = table(s, d, "segments").select("segment_id", "meeting_id", F.struct("start_s", "segment_id").alias("at"), "text").distinct()
+    w = Window.partitionBy("meeting_id").orderBy("at")
+    first = cut(g.select("segment_id", "meeting_id", "at").withColumn("rn", F.row_number().over(w)).where("rn <= 150"))
+    last = first.groupBy("meeting_id").agg(F.max("at").alias("__last"))
+    votes = g.where(F.lower("text").rlike("motion|second|aye|approve")).join(last, "meeting_id").where(F.col("at") > F.col("__last"))
+    votes = votes.withColumn("vn", F.row_number().over(w)).where("vn <= 50")
+    return first.select("meeting_id", "segment_id").union(votes.select("meeting_id", "segment_id"))
 
 
 @query(f"""

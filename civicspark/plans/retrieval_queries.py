@@ -80,7 +80,7 @@ def fts_and(s: SparkSession, d: str) -> DataFrame:
     return R.match_all(_index(s, d).postings(_questions(s)), _questions(s), "chunk_id")
 
 
-_STEM = "list_transform({}, lambda x: CASE WHEN length(x) <= 3 THEN x WHEN regexp_matches(x, 'ies$') AND NOT regexp_matches(x, '[ea]ies$') THEN left(x, length(x) - 3) || 'y' WHEN regexp_matches(x, 'es$') AND NOT regexp_matches(x, '[iaeo]es$') THEN left(x, length(x) - 1) WHEN regexp_matches(x, 's$') AND NOT regexp_matches(x, '(us|ss|es)$') THEN left(x, length(x) - 1) ELSE x END)"
+_STEM = "list_transform({}, lambda x: CASE WHEN length(x) <= 3 THEN x WHEN regexp_matches(x, 'ies$') AND NOT regexp_matches(x, '[ea]ies$') THEN left(x, length(x) - 3) || 'y' WHEN regexp_matches(x, 'es$') AND NOT regexp_matches(x, '[aeo]es$') THEN left(x, length(x) - 1) WHEN regexp_matches(x, 's$') AND NOT regexp_matches(x, '(us|ss)$') THEN left(x, length(x) - 1) ELSE x END)"
 
 
 @query(f"WITH {_TEXT.replace(_terms_sql('content'), _STEM.format(_terms_sql('content'))).replace(_terms_sql('text'), _STEM.format(_terms_sql('text')))} SELECT query_id, chunk_id, tf FROM m")

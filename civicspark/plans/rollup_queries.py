@@ -115,29 +115,3 @@ def sample_sizes(s: SparkSession, d: str) -> DataFrame:
     tied = r.join(median, "n").join(below).join(total)
     mid = tied.withColumn("rn", F.row_number().over(Window.partitionBy("n").orderBy("id")) + F.col("below")).where("rn = int((c + 1) / 2)").select("id", "n")
     return near.union(mid).union(longest).distinct()
-
-
-def _published(s: SparkSession, d: str) -> DataFrame:
-    """Orders as a published table of strings, some numbers suppressed."""
-    o = _orders(s, d)
-    n = o.groupBy("y", "o_orderpriority").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("pos"))
-    v = F.when(F.col("n") % 7 == 0, "N<20").when(F.col("n") % 5 == 0, F.concat(F.lit("<"), F.col("n").cast("string"), F.lit("%"))).otherwise(F.col("n").cast("string"))
-    return n.select(F.col("y").cast("string").alias("schoolyear"), F.col("o_orderpriority").alias("gradelevel"), F.lit("All").alias("studentgroup"), v.alias("disciplinerate"), v.alias("all_students"), v.alias("percent"), "pos")
-
-
-_PUB = f"WITH {_O}, n AS (SELECT y, o_orderpriority, count(*) AS n FROM o GROUP BY ALL)"
-
-
-@query(f"{_PUB} SELECT CAST(y AS VARCHAR) AS schoolyear, o_orderpriority AS gradelevel, CASE WHEN n % 7 <> 0 THEN CAST(n AS DOUBLE) END AS disciplinerate FROM n")
-def rollup_discipline(s: SparkSession, d: str) -> DataFrame:
-    return U.BUILDERS["discipline"].build(_published(s, d), "pos")
-
-
-@query(f"{_PUB} SELECT CAST(y AS VARCHAR) AS schoolyear, o_orderpriority AS gradelevel, CASE WHEN n % 7 <> 0 THEN CAST(n AS DOUBLE) END AS all_students FROM n WHERE y = (SELECT max(y) FROM n)")
-def rollup_enrollment_grades(s: SparkSession, d: str) -> DataFrame:
-    return U.BUILDERS["enrollment_grades"].build(_published(s, d), "pos")
-
-
-@query(f"{_PUB} SELECT CAST(y AS VARCHAR) AS schoolyear, o_orderpriority AS gradelevel, CASE WHEN n % 7 <> 0 THEN CAST(n AS DOUBLE) END AS percent FROM n")
-def rollup_language_tests(s: SparkSession, d: str) -> DataFrame:
-    return U.BUILDERS["language_tests"].build(_published(s, d), "pos")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -109,3 +110,22 @@ def _wer(a: pd.Series, b: pd.Series) -> pd.Series:
 def wer(reference: Column, heard: Column) -> Column:
     """Word error rate of two texts after normalisation; null if either is null."""
     return _wer(comparison_text(reference), comparison_text(heard))
+
+
+class Breaker:
+    """Guards a service: after `most` failures in a row its calls are refused for `rest_s` seconds; then one call is let through to try it."""
+
+    def __init__(self, call: Callable, most: int = 5, rest_s: float = 60.0, clock: Callable[[], float] = time.monotonic) -> None:
+        self.call, self.most, self.rest_s, self.clock = call, most, rest_s, clock
+        self.failures, self.since = 0, 0.0
+
+    def __call__(self, *args: object) -> object:
+        if self.failures >= self.most and self.clock() - self.since < self.rest_s:
+            raise ConnectionError("the service is resting after failures")
+        try:
+            got = self.call(*args)
+        except Exception:
+            self.failures, self.since = self.failures + 1, self.clock()
+            raise
+        self.failures = 0
+        return got

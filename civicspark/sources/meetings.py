@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,29 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     return f.select("path", F.get("rel", F.lit(0)).alias("meeting_dir"), F.when(F.size("rel") > 2, F.get("rel", F.lit(1))).alias("sub_dir"), F.element_at("rel", -1).alias("name"), "length", "modified")
 
 
+def directories(spark: SparkSession, root: str, first: int | None = None) -> DataFrame:
+    """(meeting_dir): the visible directories below root by name, the first ones only if asked for; empty ones are among them."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and not s.getPath().getName().startswith((".", "_")))
+    return spark.createDataFrame([(n,) for n in names[:first]], "meeting_dir string")
+
+
+def walk(spark: SparkSession, root: str, first: int | None = None) -> DataFrame:
+    """(meeting_dir, format, n_files) of every directory (or the first ones), those without a file included."""
+    listing = files(spark, root)
+    n = listing.groupBy("meeting_dir").agg(F.count("*").alias("n_files"))
+    d = directories(spark, root, first).join(formats(listing), "meeting_dir", "left").join(n, "meeting_dir", "left")
+    return d.select("meeting_dir", F.coalesce("format", F.lit("empty")).alias("format"), F.coalesce("n_files", F.lit(0)).alias("n_files"))
+
+
+def load_each(spark: SparkSession, root: str, parse: Callable[[DataFrame], DataFrame], name: str = "meeting.json") -> DataFrame:
+    """parse over the files called `name`, a row per file; what one damaged file lacks is null in its row alone."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(root)
+    return parse(f.select("path", F.decode("content", "UTF-8").alias("content")))
+
+
 def formats(listing: DataFrame) -> DataFrame:
     """(meeting_dir, format): structured (has a subdirectory), flat (an agenda or any other file), else empty."""
     flat = F.col("sub_dir").isNull() & ~F.col("name").isin(IGNORED)

@@ -90,3 +90,23 @@ def extract(files: DataFrame, more: dict[str, Callable[[bytes], str]] | None = N
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["path", "status", "text", "char_count", "warning", "error"])
 
     return files.select("path", "content").mapInArrow(run, "path string, status string, text string, char_count int, warning string, error string")
+
+
+#: Fixed value: characters below which a page's own text layer counts as missing.
+TIER_CHARS = 100
+
+
+def tiered(first: Callable[[bytes], str], second: Callable[[bytes], str], least: int = TIER_CHARS) -> Callable[[bytes], str]:
+    """An extractor that asks `second` where `first` fails or gives fewer than `least` characters, and keeps the longer text."""
+
+    def run(raw: bytes) -> str:
+        try:
+            a = first(raw) or ""
+        except Exception:
+            a = ""
+        if len(a.strip()) >= least:
+            return a
+        b = second(raw) or ""
+        return b if len(b.strip()) > len(a.strip()) else a
+
+    return run

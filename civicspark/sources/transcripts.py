@@ -41,7 +41,12 @@ def vendor_utterances(docs: DataFrame, key: str, payload: str) -> DataFrame:
 
 def wav_headers(spark: SparkSession, root: str) -> DataFrame:
     """(path, channels, rate, seconds, usable) of .wav files; usable is 16 kHz mono. Only the header's bytes are unpacked; damaged files have nulls."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(root).select("path", F.substring("content", 1, 4096).alias("head"), "length")
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(root)
+    return parse_wav(f.select("path", F.substring("content", 1, 4096).alias("head"), "length"))
+
+
+def parse_wav(f: DataFrame) -> DataFrame:
+    """The same of rows (path, head, length): the first bytes of a file and its whole size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from civicspark import plugins
 from civicspark.functions import text as X
-from civicspark.operators import chunking, relational, retrieval, rollups, sqlguard, stats
+from civicspark.operators import chunking, relational, retrieval, sqlguard, stats
 from civicspark.streaming import activity
 
 
@@ -138,11 +138,21 @@ def test_plugins(spark):
     assert plugins.with_fallback(lambda p: 1 / 0, lambda p: "f")("x") == "f"
 
 
-def test_rollup_builders(spark):
-    df = spark.createDataFrame([("2022", "All Grades", "10", 1), ("2022", "All Grades", "99", 2), ("2023", "All Grades", "N<20", 3), ("2023", "K", "5", 4)], "schoolyear string, gradelevel string, allstudents string, pos int")
-    assert sorted(map(tuple, rollups.BUILDERS["enrollment_trend"].build(df, "pos").collect())) == [("2022", 10.0), ("2023", None)]
-    for b in rollups.BUILDERS.values():
-        assert b.build(df, "pos").count() >= 0 and b.build(df.limit(0), "pos").count() == 0
+def test_reports_on_odd_tables(spark):
+    from civicspark.operators import reports
+
+    df = spark.createDataFrame([("2022", "District", "All Grades", "10", 1), ("2022", "District", "All Grades", "99", 2), ("2023", "District", "All Grades", "N<20", 3), ("2023", "District", "Kindergarten", "5", 4), (None, None, None, None, 5)], "schoolyear string, organizationlevel string, gradelevel string, all_students string, pos int")
+    got = [(r.section, r.year, r.label, r.value) for r in reports.REPORTS["enrollment"].build(df, "pos").collect() if r.section in ("trend", "grades")]
+    assert sorted(got, key=str) == [("grades", "2023", "Kindergarten", 5.0), ("trend", "2022", "", 10.0), ("trend", "2023", "", None)]
+    for r in reports.REPORTS.values():
+        assert r.build(df, "pos").count() >= 0 and r.build(df.limit(0), "pos").count() == 0
+    change = [("2020-21", "100", "10"), ("2021-22", "120", "14"), ("2023-24", "150", "9")]
+    e = spark.createDataFrame([(*x, i) for i, x in enumerate(change)], "school_year_code string, total_ppe string, federal_ppe string, pos int")
+    (c,) = [r for r in reports.REPORTS["expenditure"].build(e, "pos").collect() if r.section == "change"]
+    assert (c.value, c.part, c.whole, c.note) == (50.0, 100.0, 150.0, "peaked")
+    g = spark.createDataFrame([("ELA", "All Grades", "1", 1), ("ELA", "overall", "2", 2), ("Math", "All of them", "3", 3), ("Math", "4", "4", 4)], "testsubject string, gradelevel string, percentmetstandard string, pos int")
+    g = g.select("*", F.lit("2024").alias("schoolyear"), F.lit("District").alias("organizationlevel"), F.lit("All Students").alias("studentgroup"))
+    assert sorted((r.label, r.value) for r in reports.REPORTS["assessment"].build(g, "pos").collect() if r.section == "trend") == [("ELA", 1.0), ("Math", 3.0)]
 
 
 def test_streams(spark, tmp_path):
@@ -163,3 +173,98 @@ def test_streams(spark, tmp_path):
     (tmp_path / "j" / "y.jsonl").write_text("three\n")
     activity.to_parquet(activity.json_lines_stream(spark, str(tmp_path / "j")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_canonical_names(spark):
+    from civicspark.operators import dialogue
+
+    roster = spark.createDataFrame([(0, "Donald Cook"), (1, "Leslie Hamada"), (2, "Alm")], "pos int, name string")
+    labels = ["Cook", " donald cook ", "Donald Smith", "Mr. Leslie Hamada Jr", "hamada", "x", "", None, "Al", "Alma"]
+    got = {r.label: r["name"] for r in dialogue.canonical(spark.createDataFrame([(x,) for x in labels], "label string"), roster).collect()}
+    assert got == {"Cook": "Donald Cook", " donald cook ": "Donald Cook", "Donald Smith": "Donald Smith", "Mr. Leslie Hamada Jr": "Leslie Hamada", "hamada": "Leslie Hamada", "x": "x", "": "", None: None, "Al": "Donald Cook", "Alma": "Alm"}  # "al" is part of "donald cook"
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_joins_without_row_identity(spark, adaptive):
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        df = spark.range(500).select((F.col("id") * 7 % 101).alias("k"), "id").repartition(5)
+        parts = relational.round_robin(df, [F.col("k"), F.col("id")], 7).collect()
+        want = {r: i % 7 for i, r in enumerate(sorted((x.k, x.id) for x in df.collect()))}
+        assert {(r.k, r.id): r.part for r in parts} == want
+        roster = spark.createDataFrame([("2020-01-01", "2020-06-30", "a", 1)], "s string, e string, n string, priority int").select(F.to_date("s").alias("start"), F.to_date("e").alias("end"), "n", "priority")
+        days = df.select(F.when(F.col("k") % 2 == 0, F.lit("2020-03-01")).when(F.col("k") < 50, F.lit("2021-01-01")).cast("date").alias("day"), F.lit(1).alias("n_rows")).distinct().union(df.select(F.lit(None).cast("date"), F.lit(2)).limit(3))
+        got = relational.by_interval(days, "day", roster)
+        assert got.count() == days.count() and {r.n for r in got.collect()} == {"a"}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_names_stand_anywhere(spark, monkeypatch):
+    docs = spark.createDataFrame([("a", "near Foxglen", None), ("b", "no", None), ("c", None, None), ("d", "a FOX, and GLEN", None)], "k string, t string, d date")
+    names = spark.createDataFrame([(1, "Fox"), (1, "glen"), (2, "ox, A"), (3, " "), (4, None)], "query_id int, name string")
+    want = {(1, "a"), (1, "d"), (2, "d")}
+    assert {(r.query_id, r.k) for r in retrieval.name_hits(docs, names, "k", "t", "d", 5).collect()} == want
+    monkeypatch.setattr(retrieval, "NAMES_IN_TURN", 1)
+    assert {(r.query_id, r.k) for r in retrieval.name_hits(docs, names, "k", "t", "d", 5).collect()} == want
+
+
+def test_terms_of_any_script(spark):
+    assert one(spark, "Él informó; Міська рада, 预算!", lambda c: F.array_join(retrieval.terms(c), "|")) == "él|informó|міська|рада|预|算"
+    assert one(spark, "policies dresses buses bonus class as trees", lambda c: F.array_join(retrieval.stemmed_terms(c), "|")) == "policy|dresse|buse|bonus|class|tree"
+
+
+def test_index_reads_like_postings(spark, tmp_path):
+    from civicspark.operators import textindex
+
+    docs = spark.createDataFrame([("a", "red fox red"), ("b", "the big fox"), ("c", None), ("d", "")], "k string, t string")
+    i = textindex.build(docs, "k", "t", f"{tmp_path}/i", 4)
+    q = spark.createDataFrame([(1, "red fox"), (2, "wolf")], "query_id int, text string")
+    assert sorted((r.term, r.k, r.positions) for r in i.postings(q).collect()) == [("fox", "a", [1]), ("fox", "b", [1]), ("red", "a", [0, 2])]
+    assert {r.k: r.dl for r in i.lengths().collect()} == {"a": 3, "b": 2, "c": 0, "d": 0}
+    assert i.postings(q.limit(0)).count() == 0
+
+
+def test_peers_and_stop_names(spark):
+    few = spark.createDataFrame([("Ann Grey", 9), ("Bo", 3), ("Cy", 1)], "name string, n int")
+    assert sorted(r.name for r in stats.peers(few, "name", "n", "grey").collect()) == ["Bo"]
+    assert sorted(r.name for r in stats.peers(few, "name", "n", "Bo").collect()) == ["Ann Grey"]
+    assert stats.peers(few, "name", "n", "nobody").count() == 0
+    assert one(spark, "school", X.title_name) is None and one(spark, "high school", X.title_name) == "High School"
+    assert [one(spark, v, X.blank_page) for v in (" This page is\n intentionally left  blank ", "Intentionally Blank", "This page is blank")] == [True, True, False]
+
+
+def test_breaker():
+    now = [0.0]
+    b = plugins.Breaker(lambda x: 1 / x, most=2, rest_s=10, clock=lambda: now[0])
+    for _ in range(2):
+        with pytest.raises(ZeroDivisionError):
+            b(0)
+    with pytest.raises(ConnectionError):
+        b(1)
+    now[0] = 11.0
+    assert b(1) == 1 and b(2) == 0.5
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from civicspark import session
+
+    class Conf:
+        def __init__(self, values):
+            self.values = values
+
+        def get(self, k, default=None):
+            return self.values.get(k, default)
+
+        def set(self, k, v):
+            self.values[k] = v
+
+    class Fake:
+        def __init__(self, **values):
+            self.conf = Conf({k.replace("__", "."): v for k, v in values.items()})
+
+    for master in ("spark://x", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            session.shared_dir(Fake(spark__master=master))
+    assert session.shared_dir(Fake(spark__master="yarn", spark__checkpoint__dir="hdfs:///x/")) == "hdfs:///x"
+    assert session.shared_dir(Fake(spark__master="local[2]")).startswith("file://")

@@ -160,3 +160,49 @@ def test_sinks(spark, tmp_path):
     sinks.append_log(k, f"{tmp_path}/log")
     assert spark.read.json(f"{tmp_path}/log").count() == 6
     assert k.select(sinks.point_id("doc", "i").alias("p")).distinct().count() == 3
+
+
+def test_all_pages_are_read(spark, tmp_path):
+    (tmp_path / "big.json").write_text(json.dumps([{"n": k} for k in range(25)]))
+    for lanes in (1, 4):
+        df = opendata.read_records(spark, str(tmp_path), ["big"], ["n"], page_size=5, lanes=lanes)
+        assert sorted(int(r.n) for r in df.collect()) == list(range(25))
+    found = opendata.search_catalogue(lambda t: [{"id": "a", "name": t, "type": "dataset"}, {"name": "no id"}], spark, ["x", "y"])
+    assert sorted(map(tuple, found.collect())) == [("a", "x", "dataset"), ("a", "y", "dataset")]
+    (tmp_path / "alt.json").write_text(json.dumps([{"county": "K", "n": 1}]))
+    assert opendata.probe(spark, str(tmp_path), "alt", ["org", "county", "n"], [("org", "7"), ("county", "K")]).count() == 1
+
+
+def test_walk_has_empty_directories(spark, tmp_path):
+    for name, files in {"a": ["agenda.txt"], "b": [], "c": ["meeting.json", "i/item.json"], ".x": ["y"]}.items():
+        (tmp_path / name).mkdir()
+        for f in files:
+            p = tmp_path / name / f
+            p.parent.mkdir(exist_ok=True)
+            p.write_text("{}")
+    assert sorted(map(tuple, meetings.walk(spark, str(tmp_path)).collect())) == [("a", "flat", 1), ("b", "empty", 0), ("c", "structured", 2)]
+    assert [r.meeting_dir for r in meetings.walk(spark, str(tmp_path), 2).orderBy("meeting_dir").collect()] == ["a", "b"]
+    (tmp_path / "a" / "meeting.json").write_text("{broken")
+    assert sorted(r.bad for r in meetings.load_each(spark, str(tmp_path), meetings.parse_meeting).collect()) == [False, True]
+
+
+def test_publications_are_whole(spark, tmp_path):
+    import os
+
+    a, b = f"{tmp_path}/p/a", f"{tmp_path}/p/b"
+    one = spark.createDataFrame([(1,)], "x int")
+    sinks.publish({a: one, b: one})
+    for _ in range(3):
+        sinks.publish({a: sinks.read(spark, a).union(one)})
+    names = sorted(n for n in os.listdir(f"{tmp_path}/p/_published") if not n.startswith("."))
+    assert names == [f"{k:012d}.json" for k in range(4)]  # none is ever changed or deleted
+    assert sinks.read(spark, a).count() == 4 and sinks.read(spark, b).count() == 1
+    with pytest.raises(ValueError):
+        sinks.publish({a: one, f"{tmp_path}/q/c": one})
+
+
+def test_tiers():
+    assert office.tiered(lambda r: "x" * 100, lambda r: "y" * 200)(b"") == "x" * 100
+    assert office.tiered(lambda r: "x" * 99, lambda r: "y" * 200)(b"") == "y" * 200
+    assert office.tiered(lambda r: "short", lambda r: "")(b"") == "short"
+    assert office.tiered(lambda r: 1 / 0, lambda r: "fallback")(b"") == "fallback"
