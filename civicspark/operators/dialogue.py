@@ -92,11 +92,12 @@ def metrics(turns: DataFrame) -> DataFrame:
 def with_gaps(turns: DataFrame, rapid: float = 0.3) -> DataFrame:
     """turns with prev_speaker, latency, pause and overlap: a negative gap, or one below `rapid` at a change of speaker.
 
-    The turns are written once and read as their users need them: gaps are found on times and speakers alone, and every other
-    column joins them only where it is used.
+    Gaps are found on times and speakers, which are written once; every other column joins them by turn. Texts are never
+    written on the way: they come from the turns' own aggregation, whose partitioning the join keeps.
     """
-    turns = cut(turns)
-    p = with_previous(turns.select("meeting_id", "turn", "start_s", "end_s", "speaker"), "meeting_id", "turn", F.col("start_s"), ["speaker", "end_s"])
+    narrow = ["meeting_id", "turn", "start_s", "end_s", "speaker"]
+    turns = turns if "text" in turns.columns else cut(turns)
+    p = with_previous(cut(turns.select(*narrow)) if "text" in turns.columns else turns.select(*narrow), "meeting_id", "turn", F.col("start_s"), ["speaker", "end_s"])
     rest = [c for c in turns.columns if c not in ("start_s", "end_s", "speaker")]
     if len(rest) > 2:
         p = turns.select(*rest).join(p.drop("__slice"), ["meeting_id", "turn"])
