@@ -225,6 +225,16 @@ def chunk_turns(lines: DataFrame, group: str, order: list[str], target: int = 38
     return _packed(lines, group, order, ["line", "speaker", "start_s", "end_s"], lambda g: pack_lines(g, target, least, count), "content string, token_count int, speakers array<string>, time_start double, time_end double")
 
 
+def chunk_turn_rows(rows: DataFrame, group: str, target: int = 384, least: int = 100, count: Counter = by_words) -> DataFrame:
+    """The same from the segments of turns (dialogue.turn_rows): a turn's line is put together while its group is packed."""
+
+    def lines(g: Iterable[tuple]) -> Iterator[tuple]:
+        for (_, head, speaker, start, end), parts in groupby(g, key=lambda r: ((r[0]["start_s"], r[0]["segment_id"]), *r[1:5])):
+            yield head + " ".join(r[5] for r in parts if r[5] is not None), speaker, start, end
+
+    return _packed(rows, group, ["at"], ["turn", "head", "speaker", "time_start", "time_end", "text"], lambda g: pack_lines(lines(g), target, least, count), "content string, token_count int, speakers array<string>, time_start double, time_end double")
+
+
 def chunk_utterances(df: DataFrame, group: str, order: list[str], how: str = "words", target: int = 150) -> DataFrame:
     """Utterances (speaker, start_s, text) of each group, packed in order by 'words' or by 'speaker'; null texts are empty."""
     rows = df.withColumn("text", F.coalesce("text", F.lit("")))

@@ -6,6 +6,8 @@ from a table of slice edges, so a meeting with a third of all rows is many windo
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +25,17 @@ def latest_rows(df: DataFrame, key: str, received: str) -> DataFrame:
 
 
 def segments_of(df: DataFrame) -> DataFrame:
-    """(segment_id, meeting_id, at, speaker, start_s, end_s, text, n_words, scores): each segment once, a null speaker as 'unknown'.
+    """(segment_id, meeting_id, at, speaker, start_s, end_s, text, n_words, score_sum, score_n): each segment once, a null speaker as 'unknown'.
 
-    Segments without a start are left out; a null end is the start.
+    score_sum and score_n are of the words' scores above 0. Segments without a start are left out; a null end is the start.
+    Words and scores are counted before rows are shuffled, so that only their sums travel.
     """
-    s = latest_rows(df.select("segment_id", "meeting_id", "start_s", "end_s", "text", "speaker", "received_at", F.col("words.score").alias("scores")), "segment_id", "received_at").where("start_s is not null")
     n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != ""))
-    return s.select("segment_id", "meeting_id", F.struct("start_s", "segment_id").alias("at"), F.coalesce("speaker", F.lit("unknown")).alias("speaker"), "start_s", F.coalesce("end_s", "start_s").alias("end_s"), "text", n.alias("n_words"), "scores")
+    good = F.filter(F.coalesce("words.score", F.array().cast("array<double>")), lambda x: x > 0)
+    total = F.aggregate(good, F.lit(0.0), lambda a, x: a + x)
+    own = df.select("segment_id", "meeting_id", "start_s", "end_s", "text", "speaker", "received_at", n.alias("n_words"), total.alias("score_sum"), F.size(good).alias("score_n"))
+    s = latest_rows(own, "segment_id", "received_at").where("start_s is not null")
+    return s.select("segment_id", "meeting_id", F.struct("start_s", "segment_id").alias("at"), F.coalesce("speaker", F.lit("unknown")).alias("speaker"), "start_s", F.coalesce("end_s", "start_s").alias("end_s"), "text", "n_words", "score_sum", "score_n")
 
 
 def with_previous(df: DataFrame, group: str, at: str, time: Column, values: list[str], slice_s: float = SLICE_S) -> DataFrame:
@@ -54,33 +60,38 @@ def with_island(df: DataFrame, group: str, at: str, opens: Column, name: str = "
     return t.withColumn(name, F.coalesce(name, "__carried")).drop("__open", "__carried", "__slice", "prev")
 
 
+_SUMS = ["n_words", "score_sum", "score_n"]
+
+
 def turn_keys(seg: DataFrame, max_gap: float | None = 1.0, slice_s: float = SLICE_S) -> DataFrame:
-    """(segment_id, meeting_id, speaker, at, end_s, turn): the segment that opens each segment's run of one speaker with gaps below max_gap."""
-    narrow = cut(seg.select("segment_id", "meeting_id", "at", "start_s", "end_s", "speaker"))  # it is read again for the edges of slices
+    """(segment_id, meeting_id, speaker, at, end_s, turn, n_words, score_sum, score_n): turn is the segment that opens each segment's run of one speaker with gaps below max_gap."""
+    narrow = cut(seg.select("segment_id", "meeting_id", "at", "start_s", "end_s", "speaker", *_SUMS))  # it is read again for the edges of slices
     p = with_previous(narrow, "meeting_id", "at", F.col("start_s"), ["speaker", "end_s"], slice_s)
     opens = F.col("prev").isNull() | (F.col("prev.speaker") != F.col("speaker"))
     if max_gap is not None:
         opens = opens | (F.round(F.col("start_s") - F.col("prev.end_s"), 6) >= max_gap)
-    return with_island(cut(p), "meeting_id", "at", opens, "turn").select("segment_id", "meeting_id", "speaker", "at", "end_s", "turn")
+    return with_island(cut(p), "meeting_id", "at", opens, "turn").select("segment_id", "meeting_id", "speaker", "at", "end_s", "turn", *_SUMS)
+
+
+def turns_of(keys: DataFrame, *more: Column) -> DataFrame:
+    """Turns of turn_keys: (meeting_id, turn, speaker, start_s, end_s, n_words, n_segments, score_sum, score_n) and what `more` aggregates."""
+    g = keys.groupBy("meeting_id", "turn").agg(
+        F.first("speaker").alias("speaker"), F.max_by("end_s", "at").alias("end_s"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_segments"), F.sum("score_sum").alias("score_sum"), F.sum("score_n").alias("score_n"), *more
+    )
+    return g.withColumn("start_s", F.col("turn.start_s"))
 
 
 def islands(seg: DataFrame, max_gap: float | None = 1.0, texts: bool = True) -> DataFrame:
     """Turns of segments_of: runs of one speaker with gaps below max_gap (None: any gap), with words, sums of scores and, if wanted, text.
 
-    Turns are found on narrow rows and brought back by segment. Words and scores are summed in the aggregation (partial before
-    its shuffle); texts are shuffled only where they are asked for.
+    Turns are found and summed on narrow rows (partial before the shuffle); texts join them by segment only if they are asked for.
     """
-    good = F.filter("scores", lambda x: x > 0)
-    total = F.coalesce(F.aggregate(good, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
-    own = seg.select("segment_id", "at", "end_s", "n_words", total.alias("score_sum"), F.coalesce(F.size(good), F.lit(0)).alias("score_n"), *(["text"] if texts else []))
-    t = own.join(turn_keys(seg, max_gap).select("segment_id", "meeting_id", "speaker", "turn"), "segment_id").drop("segment_id")
-    said = [F.array_sort(F.collect_list(F.struct("at", "text"))).alias("p")] if texts else []
-    g = t.groupBy("meeting_id", "turn").agg(
-        F.first("speaker").alias("speaker"), F.max_by("end_s", "at").alias("end_s"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_segments"), F.sum("score_sum").alias("score_sum"),
-        F.sum(F.greatest("score_n", F.lit(0))).alias("score_n"), *said,
-    )
-    out = ["meeting_id", "turn", "speaker", F.col("turn.start_s").alias("start_s"), "end_s", "n_words", "n_segments", "score_sum", "score_n"]
-    return g.select(*out, *([F.array_join("p.text", " ").alias("text")] if texts else []))
+    keys = turn_keys(seg, max_gap)
+    if not texts:
+        return turns_of(keys)
+    t = seg.select("segment_id", "text").join(keys, "segment_id")
+    g = turns_of(t, F.array_sort(F.collect_list(F.struct("at", "text"))).alias("p"))
+    return g.withColumn("text", F.array_join("p.text", " ")).drop("p")
 
 
 def metrics(turns: DataFrame) -> DataFrame:
@@ -110,8 +121,19 @@ def with_gaps(turns: DataFrame, rapid: float = 0.3) -> DataFrame:
 
 def speaker_turns(seg: DataFrame, max_gap: float | None = 1.0) -> DataFrame:
     """(meeting_id, turn, speaker, start_s, end_s) alone: what adjacency and gaps need; no text, word or score is shuffled."""
-    g = turn_keys(seg, max_gap).groupBy("meeting_id", "turn").agg(F.first("speaker").alias("speaker"), F.max_by("end_s", "at").alias("end_s"))
-    return g.select("meeting_id", "turn", "speaker", F.col("turn.start_s").alias("start_s"), "end_s")
+    return turns_of(turn_keys(seg, max_gap)).select("meeting_id", "turn", "speaker", "start_s", "end_s")
+
+
+def turn_rows(seg: DataFrame, head: Callable[[], Column], max_gap: float | None = 1.0) -> DataFrame:
+    """(meeting_id, at, turn, head, speaker, time_start, time_end, text): the segments of turns, each with its turn's measures shown by `head`.
+
+    Everything about turns is worked out on narrow rows; a text is shuffled once to find its latest version and once by its user.
+    """
+    keys = cut(turn_keys(seg, max_gap))
+    t = with_gaps(metrics(turns_of(keys)))
+    t = t.select("meeting_id", "turn", head().alias("head"), F.col("start_s").alias("time_start"), F.col("end_s").alias("time_end"))
+    rows = keys.select("segment_id", "meeting_id", "at", "turn", "speaker").join(t, ["meeting_id", "turn"])
+    return rows.join(seg.select("segment_id", "text"), "segment_id").drop("segment_id")
 
 
 #: Places to which a report rounds the measures.

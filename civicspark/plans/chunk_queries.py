@@ -72,9 +72,8 @@ def chunk_speaker_150(s: SparkSession, d: str) -> DataFrame:
 def chunk_turns(s: SparkSession, d: str) -> DataFrame:
     from civicspark.operators import dialogue
 
-    t = dialogue.with_gaps(dialogue.metrics(dialogue.islands(dialogue.segments_of(table(s, d, "segments")))))
-    line = X.turn_line(F.col("speaker"), F.col("start_s"), F.col("end_s"), F.col("wpm"), F.col("confidence"), F.col("overlap"), F.col("pause"), F.col("text"))
-    return chunking.chunk_turns(t.select("meeting_id", F.col("turn").alias("at"), line.alias("line"), "speaker", "start_s", "end_s"), "meeting_id", ["at"])
+    head = lambda: X.turn_line(F.col("speaker"), F.col("start_s"), F.col("end_s"), F.col("wpm"), F.col("confidence"), F.col("overlap"), F.col("pause"), F.lit(""))
+    return chunking.chunk_turn_rows(dialogue.turn_rows(dialogue.segments_of(table(s, d, "segments")), head), "meeting_id")
 
 
 @query("""
