@@ -70,7 +70,7 @@ def turn_keys(seg: DataFrame, max_gap: float | None = 1.0, slice_s: float = SLIC
     opens = F.col("prev").isNull() | (F.col("prev.speaker") != F.col("speaker"))
     if max_gap is not None:
         opens = opens | (F.round(F.col("start_s") - F.col("prev.end_s"), 6) >= max_gap)
-    return with_island(cut(p), "meeting_id", "at", opens, "turn").select("segment_id", "meeting_id", "speaker", "at", "end_s", "turn", *_SUMS)
+    return with_island(p, "meeting_id", "at", opens, "turn").select("segment_id", "meeting_id", "speaker", "at", "end_s", "turn", *_SUMS)
 
 
 def turns_of(keys: DataFrame, *more: Column) -> DataFrame:

@@ -37,6 +37,11 @@ def _chunks(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "chunks").select(F.col("id").alias("chunk_id"), "document_id", "tenant_id", "document_type", "content", F.col("metadata.title").alias("title"), F.to_date(F.try_to_timestamp("metadata.meeting_date")).alias("meeting_date")).dropDuplicates(["chunk_id"])
 
 
+def _rows(s: SparkSession, d: str) -> DataFrame:
+    """Chunks as stored, repeated rows included: for uses to which they make no difference, without shuffling any text."""
+    return table(s, d, "chunks").select(F.col("id").alias("chunk_id"), "content", F.to_date(F.try_to_timestamp("metadata.meeting_date")).alias("meeting_date"))
+
+
 def _questions(s: SparkSession) -> DataFrame:
     return s.createDataFrame(QUESTIONS, "query_id int, text string")
 
@@ -58,14 +63,14 @@ def _index(s: SparkSession, d: str, stem: bool = False) -> TI.TextIndex:
 
 
 def _built(s: SparkSession, d: str, stem: bool = False) -> TI.TextIndex:
-    c = _chunks(s, d).select("chunk_id", "content")
+    c = table(s, d, "chunks").select(F.col("id").alias("chunk_id"), "content")  # repeated rows change nothing
     return TI.build(c, "chunk_id", "content", f"{shared_dir(s)}/index-{uuid.uuid4().hex}", terms=R.stemmed_terms if stem else R.terms)
 
 
 @query("WITH t AS (SELECT chunk_id, unnest(ts) AS term FROM (SELECT id AS chunk_id, " + _terms_sql("content") + " AS ts FROM chunks QUALIFY row_number() OVER (PARTITION BY id) = 1)) SELECT count(*) AS postings, count(DISTINCT term) AS terms, CAST(sum(tf) AS BIGINT) AS occurrences FROM (SELECT term, chunk_id, count(*) AS tf FROM t GROUP BY ALL)")
 def index_build(s: SparkSession, d: str) -> DataFrame:
     """A new index of all chunks, and what it holds."""
-    p = s.read.parquet(f"{_built(s, d).path}/postings")
+    p = s.read.parquet(f"{_built(s, d).path}/terms").groupBy("term", "chunk_id").agg(F.count_distinct("pos").alias("tf"))
     return p.agg(F.count("*").alias("postings"), F.count_distinct("term").alias("terms"), F.sum("tf").alias("occurrences"))
 
 
@@ -120,7 +125,7 @@ _NAMES_SQL = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in NAMES) + ") v(qu
     WITH {_TEXT}, r AS (SELECT query_id, name, chunk_id, row_number() OVER (PARTITION BY query_id, name ORDER BY meeting_date DESC NULLS LAST, chunk_id) AS rn FROM {_NAMES_SQL} JOIN c ON contains(lower(content), lower(name)))
     SELECT DISTINCT query_id, chunk_id, 1.0::DOUBLE AS score FROM r WHERE rn <= 20""")
 def name_leg(s: SparkSession, d: str) -> DataFrame:
-    return R.name_hits(_chunks(s, d), s.createDataFrame(NAMES, "query_id int, name string"), "chunk_id", "content", "meeting_date", 20)
+    return R.name_hits(_rows(s, d), s.createDataFrame(NAMES, "query_id int, name string"), "chunk_id", "content", "meeting_date", 20)
 
 
 _COS = "round(list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(CAST(a.embedding AS DOUBLE[]), lambda z: z * z))) * sqrt(list_sum(list_transform(CAST(b.embedding AS DOUBLE[]), lambda z: z * z)))), 6)"
@@ -183,7 +188,7 @@ def _vector_leg(s: SparkSession, d: str, questions: DataFrame) -> DataFrame:
 
 
 def _fused(s: SparkSession, d: str, vectors: bool = False) -> DataFrame:
-    c = _chunks(s, d)
+    c = _rows(s, d)
     keyword = R.match_all(_index(s, d).postings(_questions(s)), _questions(s), "chunk_id").withColumnRenamed("tf", "score")
     names = R.name_hits(c, s.createDataFrame(NAMES, "query_id int, name string"), "chunk_id", "content", "meeting_date", 20)
     return R.fuse({"keyword": keyword, "name": names} | ({"vector": _vector_leg(s, d, _questions(s))} if vectors else {}), "chunk_id")
