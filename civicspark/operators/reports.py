@@ -270,11 +270,12 @@ def _subject_trends(df: DataFrame, position: str) -> DataFrame:
     """A trend per subject over all grades; a subject without such rows takes those whose grade says 'all' somewhere."""
     x = where(df, (*_met, is_in(("testsubject",), "ELA", "Math", "Science")))
     exact, loose = ALL_GRADES(x), has(GRADE, "all")(x)
-    some = x.groupBy("testsubject").agg(F.bool_or(exact).alias("__exact"))
-    kept = x.join(F.broadcast(some), "testsubject").where(F.when(F.col("__exact"), exact).otherwise(loose))
+    x = x.withColumn("__subject", F.coalesce(either(x, "testsubject"), F.lit(""))).withColumn("__grade", F.coalesce(either(x, *GRADE), F.lit("")))
+    some = x.groupBy("__subject").agg(F.bool_or(exact).alias("__exact"))
+    kept = x.join(F.broadcast(some), "__subject").where(F.when(F.col("__exact"), exact).otherwise(loose))
     s = Section("trend", label=("testsubject",), value=MET, part=("countmetstandard",), whole=("countofstudentsexpectedtotestingroup",))
     by_grade = Section("trend", label=("__key",), value=s.value, part=s.part, whole=s.whole)
-    rows = by_grade.rows(kept.withColumn("__key", F.concat_ws("\u001f", "testsubject", F.coalesce("gradelevel", F.lit("")))), position).withColumn("label", F.element_at(F.split("label", "\u001f"), 1))
+    rows = by_grade.rows(kept.withColumn("__key", F.concat_ws("\u001f", "__subject", "__grade")), position).withColumn("label", F.element_at(F.split("label", "\u001f"), 1))
     return s.placed(rows)
 
 
