@@ -186,14 +186,17 @@ class Model:
         return self.parts[core]
 
     def segmented(self, core: str) -> Reading | None:
-        """The cheapest cut of a token into two or more words, by dynamic programming over its characters."""
-        n = len(core)
+        """The cheapest cut of a token into two or more words, by dynamic programming over its characters.
+
+        Where words are collected, every part is looked up, also behind one that is not known here: clean text may have it.
+        """
+        n, every = len(core), self.asked is not None
         if n > 4 * self.longest + 8:
             return None
         best: list[tuple[float, int, Reading | None]] = [(0.0, 0, None)] + [(math.inf, 0, None)] * n
         for j in range(3, n + 1):
             for i in (0, *range(3, j - 2)):
-                if j - i <= self.longest + 2 and best[i][0] < math.inf and (i or j < n) and (j == n or n - j > 2):
+                if j - i <= self.longest + 2 and (every or best[i][0] < math.inf) and (i or j < n) and (j == n or n - j > 2):
                     r = self.part(core[i:j])
                     if r is not None and best[i][0] + r.cost + RUN_ON * (i > 0) < best[j][0]:
                         best[j] = (best[i][0] + r.cost + RUN_ON * (i > 0), i, r)
@@ -471,7 +474,8 @@ def _with_words(df: DataFrame, text: str, scanned: Column, model: WordModel, pie
     """df with __words, the counts that reading each text can ask for.
 
     Tokens as they stand are looked up first; with those known, the rest that a reading may ask for is recorded and looked
-    up. An unknown word only opens further readings, so what is recorded is never too little.
+    up. An unknown word only opens further readings, and cuts of a token look up all its parts when recorded, so what is
+    recorded is never too little.
     """
     rows = cut(df.withColumn("__scan", F.coalesce(scanned, F.lit(False))).withColumn("__row", F.monotonically_increasing_id()))
     kind = "map<string,bigint>"
